@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -40,6 +43,23 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NO_WORD), "")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which may start where it can't be imported; once a Spark context."""
+    context = spark.sparkContext
+    if not getattr(context, "_tidemark_shipped", False):
+        package = Path(__file__).resolve().parent.parent
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        shutil.copytree(package, f"{folder}/code/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", f"{folder}/code"))
+        context._tidemark_shipped = True
+
+
+def by_batch(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow, with this package at hand."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def add(df: DataFrame, **columns: Column) -> DataFrame:
     """Working columns; their names start with __tm_ so that no column of a caller clashes."""
     return df.withColumns({f"__tm_{k}": v for k, v in columns.items()})
