@@ -187,7 +187,7 @@ class _Pool:
 _POOLS: dict[bytes, _Pool] = {}
 
 
-def _predicted(network: Network):
+def _predicted(network: Network, text_at: int):
     key = b"".join(np.ascontiguousarray(v).tobytes() for v in network.weights.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,8 @@ def _predicted(network: Network):
         for batch in batches:
             for k in range(0, len(batch), 512):
                 part = batch.slice(k, 512)
-                texts = [runs_of(t.as_py() or "") for t in part.column(part.num_columns - 1)]
+                legible = part.column(part.num_columns - 1).to_pylist()
+                texts = [runs_of(t.as_py()) if ok else [] for t, ok in zip(part.column(text_at), legible)]
                 pool.add(texts)
                 best, score = [], []
                 for runs in texts:
@@ -245,11 +246,11 @@ def predict(docs: DataFrame, network: Network | None, text_col: str = "text", ke
     keep = docs.columns if keep is None else keep
     if network is None:
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    # The text decides what the network sees; one without a letter comes as null.
-    seen = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))
-    rows = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(keep)), seen.alias("seen"))
-    schema = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
-    out = by_batch(rows, _predicted(network), f"{schema}, lang_pred string, score double")
+    # A text without a letter isn't read; the text goes over once, also where it is kept.
+    passed = list(keep) if text_col in keep else [*keep, text_col]
+    rows = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(passed)), F.col(text_col).rlike(r"\p{L}").alias("legible"))
+    schema = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(passed))
+    out = by_batch(rows, _predicted(network, passed.index(text_col)), f"{schema}, lang_pred string, score double")
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(keep)), "lang_pred", "score")
 
 
