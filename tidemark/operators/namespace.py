@@ -22,7 +22,8 @@ def lookup(requests: DataFrame, dirents: DataFrame, nodes: DataFrame) -> DataFra
 
 
 def walk_paths(paths: DataFrame, dirents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """path, parts -> inode and status: one join per component; ENOTDIR on a file midway, ENOENT on a miss.
+    """path, parts -> inode and status: one join per component; ENOTDIR on a file midway, ENOENT on a miss, EIO on
+    an entry without a node midway.
 
     Symbolic links aren't followed. Finished paths leave the loop, so each level handles the deeper ones alone.
     """
@@ -36,6 +37,8 @@ def walk_paths(paths: DataFrame, dirents: DataFrame, nodes: DataFrame) -> DataFr
         if left.isEmpty():
             return out
         left = left.join(kinds, F.col("inode") == F.col("n_inode"), "left").withColumn("part", F.col("parts")[depth])
+        lost = left.where("mode IS NULL")
+        out = out.unionByName(lost.select("path", F.lit(None).cast("long").alias("inode"), F.lit(ERRNO["EIO"]).alias("status")))
         files = left.where(~is_dir(F.col("mode")))
         out = out.unionByName(files.select("path", F.lit(None).cast("long").alias("inode"), F.lit(ERRNO["ENOTDIR"]).alias("status")))
         d = dirents.select(F.col("parent").alias("inode"), F.col("name").alias("part"), "child")

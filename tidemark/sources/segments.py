@@ -19,6 +19,7 @@ from tidemark.functions.codecs import little_endian
 from tidemark.functions.scalars import framed_size, segment_file, segment_id_of
 from tidemark.plans.ordered import running_total
 from tidemark.schemas import HEADER_BYTES, RECORD_MAGIC, RECORD_VERSION, RECORDS, SEGMENT_BYTES, TRAILER_BYTES
+from tidemark.session import ship
 
 _HEADER = struct.Struct("<4sBBHQIQqI")
 
@@ -127,6 +128,7 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(segments: DataFrame) -> DataFrame:
     """segment_id, content -> one row for each good record of the prefix before the first bad one."""
+    ship(segments.sparkSession)
     return segments.select(F.col("segment_id").cast("long"), "content").mapInArrow(_scanned, RECORDS)
 
 
