@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.session import ship
+
 #: What separates words; a word is a run of ASCII letters and digits and of anything beyond ASCII.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -38,22 +38,21 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What is broadcast has at most so many rows of a few numbers, as counted.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame, tag: str) -> DataFrame:
+    """df cut, and marked for broadcast if it has no more than BROADCAST_ROWS rows, so that what it joins isn't shuffled."""
+    df = cut(df, tag)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def word_array(text: Column) -> Column:
     """The lower-cased words; none if text is null. Splitting costs half of what extracting the words does."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NO_WORD), "")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, which may start where it can't be imported; once a Spark context."""
-    context = spark.sparkContext
-    if not getattr(context, "_tidemark_shipped", False):
-        package = Path(__file__).resolve().parent.parent
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        shutil.copytree(package, f"{folder}/code/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
-        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", f"{folder}/code"))
-        context._tidemark_shipped = True
-
-
 def by_batch(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """mapInArrow, with this package at hand."""
     ship(df.sparkSession)

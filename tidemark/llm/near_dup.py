@@ -6,10 +6,13 @@ differing symbols have a chunk with at most 2 errors, so the join enumerates, fo
 its 6 symbols: such a pair surely shares a key. At a Jaccard similarity of 0.8 a pair shares none of the 90 keys with a
 chance under one in a million. Pairs that share a key and differ in at most MAX_DISTANCE symbols are confirmed exactly.
 
-Copies are collapsed first, by a 128-bit hash of the set. Within a key all members are tried against its least member; only
-members that are still in different components are then tried with each other. So a group of n near copies costs about n
-confirmations, not n * n, and no link between different components stays untried. Components come from min-label
-propagation with pointer jumping, a written table each round. Nothing about documents reaches the driver but counts.
+Copies are collapsed first, by a 128-bit hash of the set. Within a key all members are paired with its least member; pairs
+within MAX_DISTANCE make families. Each node is confirmed against the nearest of its partners, which links nearly all of a
+group of near copies at a cost of one confirmation a node. Where a family then has several components, the nodes outside the
+largest meet each other and its nodes in units of two blocks of at most about BLOCK nodes, to which full sets go once a unit;
+pairs of different components within MAX_DISTANCE are confirmed, nearest first, until earlier links have joined them. Only links
+leave a unit. Components come from min-label propagation with pointer jumping, a written table each round. Nothing about
+documents reaches the driver but counts.
 
 Defined results: null and empty texts and texts of white space alone have an empty set and are linked with nothing; a row
 without an id keeps a null component and is kept; each row's text counts on its own, also where rows repeat an id, and
@@ -22,11 +25,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import by_batch, cut
+from .common import bounded, by_batch, cut
 
 PERCENT = 80
 CHUNKS, CHUNK, ERRORS = 6, 6, 2
@@ -40,6 +44,7 @@ _SIGNATURE = [f"s{k}" for k in range(_LONGS)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20240607).integers(1, 2**63, size=(2, SYMBOLS), dtype=np.uint64)
 _XOR, _FACTOR = _SEEDS[0], _SEEDS[1] * np.uint64(2) + np.uint64(1)
+BLOCK = 512
 _WORDS_KEPT, _BLOCK = 1_000_000, 1 << 15
 
 
@@ -166,16 +171,82 @@ def _sets(width: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """The pairs a, b whose full sets are similar enough; only documents of some pair are shingled again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    sets = cut(by_batch(texts, _sets(width), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+def _full_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """id and shingles of the documents wanted (id)."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(bounded(wanted, "wanted"), "id", "left_semi")
+    return cut(by_batch(texts, _sets(width), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose full sets are similar enough."""
     a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(a, "a").join(b, "b").where(shared * 100 >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def _linked(percent: int):
+    """Links between different components of a unit: its left nodes with each other, or with its right nodes if it has any.
+
+    Nearest signatures come first, and a pair that earlier links have joined isn't looked at again.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node", kind="stable")
+        left, right = rows[rows["left"]], rows[~rows["left"]]
+        alone = not len(right)
+        right = left if alone else right
+        sign = [np.ascontiguousarray(np.stack([x[c].to_numpy(np.int64) for c in _SIGNATURE], axis=1)).view(np.uint16) for x in (left, right)]
+        far = np.zeros((len(left), len(right)), np.int16)
+        for k in range(SYMBOLS):
+            far += sign[0][:, k][:, None] != sign[1][:, k][None, :]
+        n = [x["n"].to_numpy() for x in (left, right)]
+        comp = [x["component"].to_numpy() for x in (left, right)]
+        fits = np.minimum.outer(*n) * 100 >= np.maximum.outer(*n) * percent
+        i, j = np.nonzero((far <= MAX_DISTANCE) & fits & (comp[0][:, None] != comp[1][None, :]))
+        if alone:
+            i, j = i[i < j], j[i < j]
+        nodes, sets, out = [x["node"].to_numpy() for x in (left, right)], [x["shingles"].to_list() for x in (left, right)], []
+        parent: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                c = up
+            return c
+
+        for k in np.argsort(far[i, j], kind="stable"):
+            x, y = i[k], j[k]
+            cx, cy = find(int(comp[0][x])), find(int(comp[1][y]))
+            if cx != cy:
+                shared = len(np.intersect1d(sets[0][x], sets[1][y], assume_unique=True))
+                if shared * 100 >= percent * (n[0][x] + n[1][y] - shared):
+                    out.append((nodes[0][x], nodes[1][y]))
+                    parent[cx] = cy
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def _units(members: DataFrame) -> DataFrame:
+    """members (family, node, component) with the units they go to: family, x, y and whether they are on the left.
+
+    In each family the largest component is one side; the others' nodes, in blocks, meet each other and its blocks. Nodes of
+    one component never meet, so a family of near copies that are linked already costs nothing.
+    """
+    each = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m"))
+    shape = each.groupBy("family").agg(F.max(F.struct("m", (-F.col("component")).alias("c"))).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    shape = shape.select("family", (-F.col("top.c")).alias("main"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("top.m") / BLOCK).cast("int").alias("many"))
+    placed = members.join(shape, "family")
+    is_main = F.col("component") == F.col("main")
+    at = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("many")).otherwise(F.col("few"))).cast("int")
+    placed = placed.withColumn("at", at)
+    # y below 0 stands for block -1 - y of the largest component
+    to_main = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda k: F.struct(F.col("at").alias("x"), (-1 - k).alias("y"), F.lit(True).alias("left")))
+    to_few = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda k: F.struct(F.least("at", k).alias("x"), F.greatest("at", k).alias("y"), (F.col("at") <= k).alias("left")))
+    of_main = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda k: F.struct(k.alias("x"), (-1 - F.col("at")).alias("y"), F.lit(False).alias("left")))
+    goes = F.when(is_main, of_main).otherwise(F.concat(to_main, to_few))
+    return placed.withColumn("u", F.explode(goes)).select("family", "u.x", "u.y", "u.left", "node", "component")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
     """id_col, n_shingles, component_id, kept for each row of docs."""
     rows = cut(profiles(docs, id_col, text_col, width), "profiles")
@@ -183,24 +254,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     classes = cut(classes, "classes")
     # n shared of n + 1 is the most that different sets of n or more can have in common.
     able = classes.where(F.col("n") * 100 >= percent * (F.col("n") + 1))
-    keys = cut(by_batch(able.select("node", *_SIGNATURE), _keyed, "key long, node long"), "keys")
+    keys = by_batch(able.select("node", *_SIGNATURE), _keyed, "key long, node long")
     least = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most")
     stars = keys.join(least.select("key", "a"), "key").where("a < node").select("a", F.col("node").alias("b")).distinct()
     side = able.select("node", "n", *_SIGNATURE)
     tried = stars.join(side.alias("x"), F.col("x.node") == F.col("a")).join(side.alias("y"), F.col("y.node") == F.col("b"))
-    tried = cut(tried.where(_alike("x", "y", percent)).select("a", "b"), "stars")
-    edges = cut(_confirmed(tried, docs, id_col, text_col, width, percent), "links")
-    found = components(edges)
-
-    placed = keys.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y AND size > 2").select("key")
-    left = placed.join(mixed, "key").join(side, "node")
-    pairs = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _alike("x", "y", percent))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    pairs = cut(pairs, "rest")
-    more = cut(_confirmed(pairs, docs, id_col, text_col, width, percent), "more-links")
+    tried = cut(tried.where(_alike("x", "y", percent)).select("a", "b", _distance("x", "y").alias("far")), "stars")
+    family = components(tried)
+
+    sets = _full_sets(family.select(F.col("node").alias("id")), docs, id_col, text_col, width)
+    nearest = tried.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select("m.a", "b")
+    links = cut(_confirmed(nearest, sets, percent), "links")
+    found = components(links)
+
+    members = family.select("node", F.col("component").alias("family")).join(found, "node", "left").select("family", "node", F.coalesce("component", "node").alias("component"))
+    units = _units(cut(members, "members")).join(side, "node").join(sets.select(F.col("id").alias("node"), "shingles"), "node")
+    more = cut(units.groupBy("family", "x", "y").applyInPandas(_linked(percent), "a long, b long"), "more-links")
     if not more.isEmpty():
-        found = components(edges.union(more))
+        found = components(links.union(more))
 
     known = classes.join(found, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
     known = known.groupBy("hi", "lo").agg(F.min("component").alias("component"))
@@ -212,4 +283,5 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group: that with the least id."""
     gone = groups(docs, id_col, text_col, width, percent).where("NOT kept").select(F.col(id_col).alias("__tm_gone")).distinct()
+    gone = bounded(gone, "gone")
     return docs.join(gone, docs[id_col].cast("long") == gone["__tm_gone"], "left_anti")
