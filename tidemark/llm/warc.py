@@ -81,9 +81,11 @@ def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     fields = {}
     for line in data[version.end() : end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
-        if not colon:
+        key = name.strip().lower().decode("latin-1")
+        # A header cut short runs into the next record's: a line without a colon, or a field for the second time.
+        if not colon or b"\r" in value or key in fields and key != "warc-concurrent-to":
             return None
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        fields[key] = value.strip().decode("utf-8", "replace")
     return fields, end + 4
 
 
