@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import by_batch, fresh_path
+from .common import bounded, by_batch, fresh_path
 
 REVISIT_BYTES, FILE_BYTES = 1000, 16 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -66,7 +66,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     rows = rows.withColumn("digest", F.when(F.length("payload") >= REVISIT_BYTES, F.sha1("payload")))
     known = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
     size = rows.agg(F.avg(F.length("payload"))).first()[0] or 0
-    joined = rows.join(known.where("n > 1").select("digest", "last"), "digest", "left")
+    joined = rows.join(bounded(known.where("n > 1").select("digest", "last"), "copies"), "digest", "left")
     to = F.when(F.coalesce(F.col("id") != F.col("last"), F.col("last").isNotNull()), F.col("last"))
     records = by_batch(joined.select("id", "url", "payload", to.alias("to")), _written, "record binary")
     records = records.select(F.col("record").cast("string").alias("value"))
