@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, license_scan as L, line_dedup, near_dup
+from tidemark.llm import common, decontam, license_scan as L, line_dedup, near_dup
 
 SCHEMA = "doc_id long, text string, source string, n long, hits string, words string, lines string, score double, tokens int, p string, id long"
 EXTRA = (1, "x", "y", "z", 0.5, 3, "q", 9)
@@ -95,7 +95,7 @@ def test_decontamination_against_sql(spark, by_sql, rows_of, monkeypatch):
     leaks = {r[1] for r in got}
     kept = decontam.remove(table(spark, docs), bench)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, *_ in docs if d not in leaks) and None in leaks
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     assert rows_of(decontam.contained(table(spark, docs), bench)) == got
     assert decontam.contained(table(spark, docs), bench.limit(0)).count() == 0 and decontam.contained(table(spark, docs).limit(0), bench).count() == 0
 

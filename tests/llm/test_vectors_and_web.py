@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, knn, warc
+from tidemark.llm import common, html_text, knn, warc
 
 
 def brute_topk(rows, k):
@@ -31,7 +31,7 @@ def test_topk_against_brute_force(spark, monkeypatch, block):
     rows = [(i, [float(x) for x in np.float32(rng.normal(size=6) + 3 * (i % 4))]) for i in range(600)]
     same = rows[7][1]
     rows += [(i, same) for i in range(600, 760)]  # one very common vector, also asked
-    rows += [(1000, None), (1050, [1.0, None, 0, 0, 0, 0]), (1100, [float("nan")] * 6), (1150, [float("inf")] + [0.0] * 5), (1200, [0.0] * 6), (1250, [1.0, 2.0]), (1251, [2.0, 2.0]), (1300, [9.0] * 3), (None, same)]
+    rows += [(1000, None), (1050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1100, [float("nan")] * 6), (1150, [float("inf")] + [0.0] * 5), (1200, [0.0] * 6), (1250, [1.0, 2.0]), (1251, [2.0, 2.0]), (1300, [9.0] * 3), (None, same)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("ids", F.lit("x")).repartition(5)
     got = knn.search(df, F.col("vec_id") % 50 == 0, 5, pivots=12)
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()} == brute_topk(rows, 5)
@@ -63,7 +63,7 @@ PAGES = [(1, "http://a/", "x" * 1000), (2, "http://b/", "x" * 1000), (3, None, "
 
 @pytest.mark.parametrize("broadcast", [500_000, -1])
 def test_warc_round_trip(spark, by_sql, rows_of, monkeypatch, broadcast):
-    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("digest", F.lit(0)).withColumn("payload", F.lit("")).repartition(3)
     got = warc.round_trip(pages)
     assert got.where("record_type = 'quarantined'").count() == 0
