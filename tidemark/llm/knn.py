@@ -4,8 +4,10 @@ Equal vectors are collapsed first (each keeps its k + 1 smallest ids, all that a
 PIVOTS vectors, drawn by a hash, divide the data into cells and the queries into groups by the nearest pivot. From summaries
 of the cells (size, radius, greatest norm, and the exact scores of the pivots, which are data too) come two bounds for a
 group g with pivot p and radius r: a threshold that the (k + 1)-th score of each of its queries surely reaches, and for each
-vector x at most p.x + r |x|. Only vectors whose bound reaches the group's threshold are sent to it. Groups are then solved
-locally, in blocks: at most BLOCK queries against a salted share of the group's vectors, and the blocks' best are merged.
+vector x at most p.x + r |x|. Only vectors whose bound reaches the group's threshold are sent to it. Neighbouring groups share
+a bin of up to BLOCK queries, to which a vector goes once if it matters to any of them: where distances don't tell vectors
+apart, and so no bound prunes, the data is sent as often as there are blocks of queries, not once a group. Bins are solved
+locally, BLOCK queries against a salted share of the vectors, and the shares' best are merged.
 
 Components are turned into integers by a caller's scale, so scores are exact: sums below 2**53 are taken in float64, others
 in Python's integers. Defined results: vectors that are null, or hold null or non-finite components, and rows without an id
@@ -22,9 +24,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from .common import by_batch, cut, ship
+from tidemark.session import ship
 
-PIVOTS, BLOCK, SHARE = 48, 2048, 20_000
+from .common import by_batch, cut
+
+PIVOTS, BLOCK, SHARE = 48, 2048, 8_000
 
 
 def usable(vector: str) -> Column:
@@ -68,8 +72,23 @@ def _placed(pivots: np.ndarray, k: int):
     return run
 
 
-def _replicated(pivots: np.ndarray, radius: np.ndarray, threshold: np.ndarray):
-    """A row for each query group that a vector may matter to: those where its bound reaches the threshold."""
+def _bins(pivots: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Groups packed into bins of BLOCK queries, neighbours together; a larger group has a bin of its own."""
+    center = pivots - pivots.mean(axis=0)
+    axis = np.linalg.svd(center, full_matrices=False)[2][0] if center.size else np.zeros(pivots.shape[1])
+    bins, current, load = np.zeros(len(pivots), int), 0, 0
+    for g in np.argsort(center @ axis, kind="stable"):
+        if load and load + size[g] > BLOCK:
+            current, load = current + 1, 0
+        bins[g] = current
+        load += size[g]
+    return bins
+
+
+def _replicated(pivots: np.ndarray, radius: np.ndarray, threshold: np.ndarray, bins: np.ndarray):
+    """A row for each bin that a vector may matter to: those with a group where its bound reaches the threshold."""
+    members = np.zeros((len(bins), bins.max() + 1), np.float32)
+    members[np.arange(len(bins)), bins] = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,9 +96,10 @@ def _replicated(pivots: np.ndarray, radius: np.ndarray, threshold: np.ndarray):
             norm = np.sqrt((x * x).sum(1))
             reach = radius[None, :] * norm[:, None]
             bound = x @ pivots.T + reach
-            near, group = np.nonzero(bound + _SLACK * (np.abs(bound) + reach + 1) >= threshold[None, :])
+            matters = bound + _SLACK * (np.abs(bound) + reach + 1) >= threshold[None, :]
+            near, to = np.nonzero(matters.astype(np.float32) @ members > 0)
             take = pa.array(near, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(group, pa.int32())], names=["v", "ids", "cell"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(to, pa.int32())], names=["v", "ids", "bin"])
 
     return run
 
@@ -147,15 +167,16 @@ def _of_length(rows: DataFrame, dim: int, k: int, n_pivots: int) -> DataFrame:
     radius, threshold, size = np.zeros(len(centers)), np.full(len(centers), np.inf), np.zeros(len(centers), int)
     for r in queries.groupBy("cell").agg(F.max("far").alias("r"), F.min("low").alias("low"), F.count(F.lit(1)).alias("n")).collect():
         radius[r["cell"]], threshold[r["cell"]], size[r["cell"]] = r["r"], r["low"] - _SLACK * (abs(r["low"]) + 1), r["n"]
-    sent = cut(by_batch(data, _replicated(centers, radius, threshold), "v array<bigint>, ids array<bigint>, cell int"), "sent")
-    load = {r["cell"]: r["count"] for r in sent.groupBy("cell").count().collect()}
-    blocks = np.maximum(1, -(-size // BLOCK))
-    salts = np.array([max(1, -(-load.get(c, 0) // SHARE)) for c in range(len(centers))])
+    bins = _bins(centers, size)
+    sent = cut(by_batch(data, _replicated(centers, radius, threshold, bins), "v array<bigint>, ids array<bigint>, bin int"), "sent")
+    load = {r["bin"]: r["count"] for r in sent.groupBy("bin").count().collect()}
+    blocks = np.maximum(1, -(-np.bincount(bins, weights=size).astype(int) // BLOCK))
+    salts = np.array([max(1, -(-load.get(c, 0) // SHARE)) for c in range(len(blocks))])
     of = lambda table, col: F.element_at(F.array(*(F.lit(int(n)) for n in table)), F.col(col) + 1)
-    q = queries.withColumn("block", F.pmod(F.xxhash64("v"), of(blocks, "cell")).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), of(salts, "cell") - 1)))
-    x = sent.withColumn("salt", F.pmod(F.xxhash64("v", F.lit("salt")), of(salts, "cell")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), of(blocks, "cell") - 1)))
+    q = queries.select("v", of(bins, "cell").alias("bin")).withColumn("block", F.pmod(F.xxhash64("v"), of(blocks, "bin")).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), of(salts, "bin") - 1)))
+    x = sent.withColumn("salt", F.pmod(F.xxhash64("v", F.lit("salt")), of(salts, "bin")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), of(blocks, "bin") - 1)))
     ship(rows.sparkSession)
-    best = q.select("v", "cell", "block", "salt").groupBy("cell", "block", "salt").cogroup(x.groupBy("cell", "block", "salt")).applyInPandas(_solved(k + 1), "v array<bigint>, score string, id long")
+    best = q.groupBy("bin", "block", "salt").cogroup(x.groupBy("bin", "block", "salt")).applyInPandas(_solved(k + 1), "v array<bigint>, score string, id long")
     asks = rows.where("asks").select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
     pairs = asks.join(best, F.col("qv") == F.col("v")).where("query_id <> id").select("query_id", "id", F.col("score").cast("decimal(38,0)").alias("score")).distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
