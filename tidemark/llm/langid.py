@@ -29,7 +29,7 @@ DOCS_A_LANGUAGE, RUNS_A_DOCUMENT, LANGUAGES = 400, 60, 200
 HIDDEN, EMBED, BATCH, STEPS, RATE, MAX_RUN = 24, 16, 192, 600, 0.01, 24
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_PAD, _KEPT = 256, 400_000
+_PAD, _KEPT = 256, 150_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

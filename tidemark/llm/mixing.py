@@ -29,7 +29,7 @@ from .toxicity import _WORD, features, features_of
 
 DOCS_A_DOMAIN, DOMAINS = 1500, 64
 LEAST_DOCS, STEPS, RATE, L1 = 4, 120, 0.05, 2e-4
-ROUNDS, CLOSE, RIDGE, _KEPT = 60, 1e-6, 1e-6, 1_000_000
+ROUNDS, CLOSE, RIDGE, _KEPT = 60, 1e-6, 1e-6, 200_000
 
 
 @dataclass

@@ -45,7 +45,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20240607).integers(1, 2**63, size=(2, SYMBOLS), dtype=np.uint64)
 _XOR, _FACTOR = _SEEDS[0], _SEEDS[1] * np.uint64(2) + np.uint64(1)
 BLOCK = 512
-_WORDS_KEPT, _BLOCK = 1_000_000, 1 << 15
+_WORDS_KEPT, _BLOCK = 200_000, 1 << 15
 
 
 class _Words(dict):

@@ -28,7 +28,7 @@ DOCS_A_GRADE, GRADES = 2000, 32
 BUCKETS, LEAST_DOCS = 1 << 20, 4
 STEPS, RATE, L1 = 150, 0.05, 2e-4
 _WORD = re.compile(r"[^\W_]+")
-_KEPT = 1_000_000
+_KEPT = 200_000
 
 
 def features_of(word: str) -> tuple[int, ...]:
