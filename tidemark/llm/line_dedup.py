@@ -3,7 +3,8 @@ r"""Line dedup by site-relative frequency.
 For each host, the pages that contain a line are divided by the pages of the host; a line over max_ratio of them, on at
 least min_pages pages, is boilerplate there and all its copies go. Native expressions only. Lines travel as two 64-bit
 hashes and are counted before they are shuffled. What a host's pages have over the ratio is at most its mean number of
-lines a page divided by the ratio, so a host's list stays small however many pages it has.
+lines a page divided by the ratio, so a host's list stays small however many pages it has. The lists are broadcast if their
+counted size is under BROADCAST_LINES, so that texts aren't shuffled; else they are joined by host, and Spark splits a hot one.
 
 Defined results: a null text stays null and counts as a page without lines; null hosts are one host; blank lines are never
 boilerplate; a page of boilerplate alone keeps its row with an empty text; repeated rows count as pages of their own.
@@ -14,9 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import add, own
+from .common import add, cut, own
 
-MAX_RATIO, MIN_PAGES = 0.1, 3
+MAX_RATIO, MIN_PAGES, BROADCAST_LINES = 0.1, 3, 500_000
 
 
 def _key(line: Column) -> Column:
@@ -35,7 +36,10 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio: float
 
 def drop_lines(pages: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
     """pages with the boilerplate lines of their host taken out of text_col; with counts, also n_lines and n_dropped."""
-    known = boilerplate(pages, host_col, text_col, max_ratio, min_pages)
+    known = cut(boilerplate(pages, host_col, text_col, max_ratio, min_pages), "boilerplate")
+    lines, hosts = known.agg(F.sum(F.size("__tm_drop")), F.count(F.lit(1))).first()
+    if (lines or 0) + hosts <= BROADCAST_LINES:
+        known = F.broadcast(known)
     joined = pages.join(known, pages[host_col].eqNullSafe(known["__tm_host"]), "left")
     joined = add(joined, lines=F.split(F.col(text_col), "\n"))
     stays = F.filter("__tm_lines", lambda x: F.col("__tm_drop").isNull() | (F.trim(x) == "") | ~F.array_contains(F.col("__tm_drop"), _key(x)))
