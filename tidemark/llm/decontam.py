@@ -5,7 +5,8 @@ signature that a document holds estimates how much of the item it contains, what
 partitioned by size: those of fewer words than a shingle are shingled at their own width, and a document is looked up only
 for items that its number of shingles can contain. A document that holds any signature shingle of an item is a candidate;
 candidates are verified on the full sets. At a threshold of 0.8, an item is overlooked with a chance of 0.2 ** n_perms.
-Native expressions only. The index has n_perms rows an item at most; it is broadcast only if counted below BROADCAST_ROWS.
+Native expressions only. The index has n_perms rows an item at most; it, and the candidate pairs, are broadcast only if
+counted below BROADCAST_ROWS, and joined by a shuffle beyond.
 
 Defined results: null and empty texts and items without words match nothing; several rows of one doc_id count as one
 document that contains what any of them does (null is such an id too); repeated item_ids likewise; very long texts are
@@ -16,9 +17,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import word_array
+from .common import bounded, word_array
 
-WIDTH, THRESHOLD, N_PERMS, BROADCAST_ROWS = 5, 0.8, 16, 500_000
+WIDTH, THRESHOLD, N_PERMS = 5, 0.8, 16
 
 
 def _shingle(words: str, at: str, width: int) -> Column:
@@ -34,7 +35,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     """id_col, item_id, n_item_shingles, n_shared, containment: a row for each document and item it contains to threshold."""
     items = items.select(F.col(item_col).alias("item_id"), word_array(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0)
     items = items.withColumn("width", F.least(F.size("item_words"), F.lit(width)))
-    docs = docs.select(F.col(id_col).alias("doc_id"), word_array(F.col(text_col)).alias("words"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for w in sorted(r["width"] for r in items.select("width").distinct().collect()):
         found = _at_width(docs, items.where(F.col("width") == w), w, threshold, n_perms)
@@ -49,19 +50,16 @@ def _at_width(docs: DataFrame, items: DataFrame, width: int, threshold: float, n
     sets = items.select("item_id", _shingles("item_words", width).alias("item_set"))
     each = sets.select("item_id", F.size("item_set").alias("m"), F.explode("item_set").alias("s"))
     signature = each.groupBy("item_id", "m").agg(F.array_distinct(F.array(*(F.min_by("s", F.xxhash64("s", F.lit(k))) for k in range(n_perms)))).alias("signature"))
-    index = signature.select("item_id", "m", F.explode("signature").alias("s"))
-    if index.count() <= BROADCAST_ROWS:
-        index = F.broadcast(index)
-
+    index = bounded(signature.select("item_id", "m", F.explode("signature").alias("s")), "index")
     n = F.size("words") - (width - 1)
-    words = docs.where(n > 0)
-    probes = words.select("doc_id", n.alias("n"), "words", F.posexplode("words").alias("at", "word")).where(F.col("at") < F.col("n"))
+    words = docs.select("doc_id", word_array(F.col("text")).alias("words"))
+    probes = words.where(n > 0).select("doc_id", n.alias("n"), "words", F.posexplode("words").alias("at", "word")).where(F.col("at") < F.col("n"))
     probes = probes.select("doc_id", "n", _shingle("words", "at", width).alias("s"))
     candidates = probes.join(index, "s").where(F.col("n") >= threshold * F.col("m")).select("doc_id", "item_id").distinct()
-
-    at = candidates.join(sets, "item_id")
-    pairs = words.alias("d").join(at.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
-    pairs = pairs.select("d.doc_id", "item_id", "item_set", _shingles("words", width).alias("doc_set"))
+    candidates = bounded(candidates, "candidates")
+    pairs = docs.alias("d").join(candidates.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))).select("d.doc_id", "item_id", "text")
+    pairs = pairs.select("doc_id", "item_id", word_array(F.col("text")).alias("words")).join(sets, "item_id")
+    pairs = pairs.select("doc_id", "item_id", "item_set", _shingles("words", width).alias("doc_set"))
     shared = F.size(F.array_intersect("item_set", "doc_set")).cast("long")
     pairs = pairs.select("doc_id", "item_id", F.size("item_set").cast("long").alias("n_item_shingles"), shared.alias("n_shared"))
     return pairs.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles")).where(F.col("n_shared") >= threshold * F.col("n_item_shingles"))
@@ -70,4 +68,5 @@ def _at_width(docs: DataFrame, items: DataFrame, width: int, threshold: float, n
 def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the documents that contain an item."""
     leaks = contained(docs, items, id_col=id_col, **options).select(F.col(id_col).alias("__tm_leak")).distinct()
+    leaks = bounded(leaks, "leaks")
     return docs.join(leaks, docs[id_col].eqNullSafe(leaks["__tm_leak"]), "left_anti")
