@@ -6,9 +6,10 @@ differing symbols have a chunk with at most 2 errors, so the join enumerates, fo
 its 6 symbols: such a pair surely shares a key. At a Jaccard similarity of 0.8 a pair shares none of the 90 keys with a
 chance under one in a million. Pairs that share a key and differ in at most MAX_DISTANCE symbols are confirmed exactly.
 
-Copies are collapsed first, by a 128-bit hash of the set. Within a key all members are paired with its least member; pairs
-within MAX_DISTANCE make families. Each node is confirmed against the nearest of its partners, which links nearly all of a
-group of near copies at a cost of one confirmation a node. Where a family then has several components, the nodes outside the
+Copies are collapsed first, by a 128-bit hash of the set. Within a key all members are paired with its least member and with
+the least of their own and of the next band of sizes. All that share a key are one family, whatever their sizes and
+distances, so two members that are unlike the least ones still meet. Each node is confirmed against the nearest of its
+partners within MAX_DISTANCE, which links nearly all of a group of near copies at a cost of one confirmation a node. Where a family then has several components, the nodes outside the
 largest meet each other and its nodes in units of two blocks of at most about BLOCK nodes, to which full sets go once a unit;
 pairs of different components within MAX_DISTANCE are confirmed, nearest first, until earlier links have joined them. Only links
 leave a unit. Components come from min-label propagation with pointer jumping, a written table each round. Nothing about
@@ -21,6 +22,7 @@ groups with the same least id are one; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -255,12 +257,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     # n shared of n + 1 is the most that different sets of n or more can have in common.
     able = classes.where(F.col("n") * 100 >= percent * (F.col("n") + 1))
     keys = by_batch(able.select("node", *_SIGNATURE), _keyed, "key long, node long")
-    least = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most")
-    stars = keys.join(least.select("key", "a"), "key").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    least = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     side = able.select("node", "n", *_SIGNATURE)
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    shared = cut(keys.join(least.select("key", "least"), "key").join(able.select("node", band.alias("band")), "node"), "shared-keys")
+    hubs = shared.groupBy("key", "band").agg(F.min("node").alias("hub"))
+    near = shared.join(hubs.union(hubs.select("key", F.col("band") - 1, "hub")), ["key", "band"])
+    stars = shared.select(F.col("least").alias("a"), F.col("node").alias("b")).union(near.select("hub", "node"))
+    stars = cut(stars.where("a <> b").distinct(), "stars")
+    family = components(stars)
     tried = stars.join(side.alias("x"), F.col("x.node") == F.col("a")).join(side.alias("y"), F.col("y.node") == F.col("b"))
-    tried = cut(tried.where(_alike("x", "y", percent)).select("a", "b", _distance("x", "y").alias("far")), "stars")
-    family = components(tried)
+    tried = cut(tried.where(_alike("x", "y", percent)).select("a", "b", _distance("x", "y").alias("far")), "tried")
 
     sets = _full_sets(family.select(F.col("node").alias("id")), docs, id_col, text_col, width)
     nearest = tried.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select("m.a", "b")
