@@ -1,7 +1,7 @@
 """A training-data pipeline over `documents`: each stage reads what its predecessor kept, written as Parquet.
 
 Language ID drops texts without a letter and those no language explains; line dedup takes out lines that a tenth of a
-source's documents share; near-dedup keeps one document of each group; decontamination drops documents that contain a
+source's distinct texts share; near-dedup keeps one document of each group; decontamination drops documents that contain a
 benchmark item; mixing gives each remaining document a rate.
 """
 
@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    return line_dedup.drop_lines(docs, distinct=True).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,15 @@ def test_rejected_documents_go(spark):
     left = {r.doc_id for r in P.language_id(spark, docs, SF).collect()}
     assert left == set(range(40))
     assert P.language_id(spark, docs.limit(0), SF).count() == 0 and langid.UNKNOWN == "und"
+
+
+def test_copies_are_left_to_near_dedup(spark):
+    """A third of a source are copies of one document: its lines stay in stage 2, and one copy survives stage 3."""
+    copy = "\n".join(" ".join(f"c{i}w{k}" for k in range(8)) for i in range(3))
+    rows = [(k, copy if k % 3 == 0 else "menu home\n" + " ".join(f"d{k}w{i}" for i in range(20)), "en", "s", 1) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cleaned = P.drop_site_lines(spark, docs, SF)
+    assert {r.text for r in cleaned.where("doc_id % 3 = 0").collect()} == {copy}
+    assert all(not r.text.startswith("menu") for r in cleaned.where("doc_id % 3 <> 0").collect())
+    left = {r.doc_id: r.text for r in P.near_dedup(spark, cleaned, SF).collect()}
+    assert set(left) == {0} | {k for k in range(60) if k % 3} and left[0] == copy
