@@ -144,3 +144,12 @@ def test_stream_retry_is_idempotent(spark, tmp_path):
 def test_windows(spark, kind):
     events = spark.createDataFrame([("a", "2024-01-01 00:10:00"), ("a", "2024-01-01 00:20:00"), ("a", "2024-01-01 05:00:00")], "event_type string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert L.windowed_counts(events, kind).agg(F.sum("events")).first()[0] == (12 if kind == "sliding" else 3)
+
+
+def test_every_record_is_scanned(spark):
+    from tidemark.plans import queries as Q, views as V
+
+    d = "/root/testdata/sf0.001"
+    columns = ["inode", "seq", "logical_off", "length"]
+    expected = V.versions(V.table(spark, d, "events")).select(*columns).collect()
+    assert sorted(map(tuple, Q.scanned(spark, d).select(*columns).collect())) == sorted(map(tuple, expected))

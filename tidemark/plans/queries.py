@@ -497,16 +497,21 @@ def _records(spark, d):
     return v.withColumn("stripe_id", O.stripe_of(F.col("logical_off"), V.STRIPE)).withColumn("payload", F.expr("unhex(repeat(lpad(hex(seq % 256), 2, '0'), CAST(length AS INT)))"))
 
 
-@query("SELECT inode, logical_off // 16384 AS stripe_id, seq, logical_off, length FROM versions WHERE seq % 10 = 0")
-def segment_scan(spark, d):
-    """Records framed, packed into segments with junk behind, and scanned back."""
-    rows = _records(spark, d).where("seq % 10 = 0")
+def scanned(spark, d):
+    """Every record of the table as the scan of torn segments gives it back."""
+    rows = _records(spark, d)
     placed = G.pack(rows, 1 << 20).drop("length")
     framed = G.frame(rows.drop("segment_id", "segment_offset").join(placed, ["tier", "seq"]))
     torn = G.contents(framed).select("segment_id", F.concat("content", F.lit(bytearray(b"junk" * 16))).alias("content"))
     return G.scan(torn).select("inode", "stripe_id", "seq", "logical_off", "length")
 
 
+@query("SELECT inode, logical_off // 16384 AS stripe_id, seq, logical_off, length FROM versions WHERE seq % 10 = 0")
+def segment_scan(spark, d):
+    """Records framed, packed into segments with junk behind, and scanned back: all of them, of which the SQL shows a tenth."""
+    return scanned(spark, d).where("seq % 10 = 0")
+
+
 @query()
 def segment_rotation(spark, d):
     return G.rotate(V.versions(V.table(spark, d, "events")), 1 << 20)
