@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -164,6 +165,45 @@ def test_near_dup_behind_shorter_variants(spark):
     assert sum(r.kept for r in got) == 61
 
 
+def test_near_dup_behind_excerpts_in_blocks(spark, monkeypatch):
+    """Excerpts with lesser ids hide two full copies that differ by an end; keys are cut into blocks of four nodes."""
+    rows = []
+    for seed in range(16):
+        rng = random.Random(seed)
+        text, at = [f"s{seed}w{i}" for i in range(900)], seed * 100
+        for k in range(10):
+            cut = rng.randrange(131)
+            rows.append((at + k, " ".join(text[cut : cut + 770]), "s"))
+        rows += [(at + 50 + k, " ".join(text + [f"s{seed}e{k}x{i}" for i in range(80)]), "s") for k in range(2)]
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    got = near_dup.groups(table(spark, rows), width=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_groups(rows, 2))
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_near_dup_with_repeated_ids(spark, order):
+    """Each row's text counts, in whatever order the rows of an id come."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(7, a, "s"), (7, b, "s"), (8, a + " more", "s"), (9, b + " extra", "s"), (7, a, "s")][::order]
+    got = near_dup.groups(table(spark, rows), width=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_groups(rows, 2)) and sum(r.kept for r in got) == 3
+    assert sorted(r.doc_id for r in near_dup.dedup(table(spark, rows), width=2).collect()) == [7, 7, 7]
+
+
+def test_forest_spans_and_sketch_tells_similarity():
+    rng = np.random.default_rng(2)
+    x, y, n = rng.integers(0, 60, 900), rng.integers(0, 60, 900), 60
+    kept = near_dup._forest(rng.random(900), x, y, n)
+    label = np.arange(n)
+    for k in kept:
+        assert label[x[k]] != label[y[k]]  # no cycle
+        label[label == label[x[k]]] = label[y[k]]
+    assert all(label[x] == label[y])
+    words = [f"w{i}" for i in range(3000)]
+    one, two = (np.frombuffer(near_dup.sketch(near_dup.shingle_set(" ".join(t), 1)), np.uint8) for t in (words[:2700], words[300:]))
+    assert abs(((one == two) & (one != 0)).sum() / ((one | two) != 0).sum() - 0.8) < 0.13
+
+
 def test_signature_radius_is_guaranteed():
     """Any two signatures within the radius share a key."""
     import numpy as np

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.session import ship
+from tidemark.plans.groups import grouped
+from tidemark.session import settle, ship
 
 #: What separates words; a word is a run of ASCII letters and digits and of anything beyond ASCII.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -18,24 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{tag}"
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back, so a lost executor costs no more than its own tasks."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+cut = settle
 
 
 #: What is broadcast has at most so many rows of a few numbers, as counted.
@@ -45,7 +27,11 @@ BROADCAST_ROWS = 500_000
 def bounded(df: DataFrame, tag: str) -> DataFrame:
     """df cut, and marked for broadcast if it has no more than BROADCAST_ROWS rows, so that what it joins isn't shuffled."""
     df = cut(df, tag)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    if df.count() > BROADCAST_ROWS:
+        return df
+    out = F.broadcast(df)
+    out._tidemark_path = df._tidemark_path
+    return out
 
 
 def word_array(text: Column) -> Column:
@@ -59,6 +45,16 @@ def by_batch(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def by_group(df: DataFrame, n_keys: int, run: Callable, schema: str) -> DataFrame:
+    """run on the rows of each key (the first n_keys columns) as one Arrow batch, which gives a batch or None."""
+
+    def stream(batches):
+        yield from (found for group in grouped(batches, n_keys) if (found := run(group)) is not None)
+
+    keys = df.columns[:n_keys]
+    return by_batch(df.repartition(*keys).sortWithinPartitions(*keys), stream, schema)
+
+
 def add(df: DataFrame, **columns: Column) -> DataFrame:
     """Working columns; their names start with __tm_ so that no column of a caller clashes."""
     return df.withColumns({f"__tm_{k}": v for k, v in columns.items()})

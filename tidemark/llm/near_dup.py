@@ -4,20 +4,28 @@ A document's set is its distinct shingles of `width` words (fewer words: the who
 has 36 symbols of 16 bits, one for each MinHash function, in 6 chunks of 6. Two signatures at a distance of at most 17
 differing symbols have a chunk with at most 2 errors, so the join enumerates, for each chunk, the 15 ways to leave out 2 of
 its 6 symbols: such a pair surely shares a key. At a Jaccard similarity of 0.8 a pair shares none of the 90 keys with a
-chance under one in a million. Pairs that share a key and differ in at most MAX_DISTANCE symbols are confirmed exactly.
+chance under one in a million.
 
-Copies are collapsed first, by a 128-bit hash of the set. Within a key all members are paired with its least member and with
-the least of their own and of the next band of sizes. All that share a key are one family, whatever their sizes and
-distances, so two members that are unlike the least ones still meet. Each node is confirmed against the nearest of its
-partners within MAX_DISTANCE, which links nearly all of a group of near copies at a cost of one confirmation a node. Where a family then has several components, the nodes outside the
-largest meet each other and its nodes in units of two blocks of at most about BLOCK nodes, to which full sets go once a unit;
-pairs of different components within MAX_DISTANCE are confirmed, nearest first, until earlier links have joined them. Only links
-leave a unit. Components come from min-label propagation with pointer jumping, a written table each round. Nothing about
-documents reaches the driver but counts.
+Equal sets are collapsed to classes first, by a 128-bit hash of the set; the nodes below are classes. Links between nodes
+that share a key are found in three rounds, each of which needs fewer comparisons since the last has joined most of them:
+
+1. Stars. Within a key each node has the least node of its own and of the next band of sizes as hubs. A node is confirmed
+   against the one hub that it shares the most keys with: a comparison a node, however large its group of near copies is.
+2. Forests. Keys whose nodes still lie in several components are cut into units of two blocks of at most about BLOCK nodes.
+   A unit holds 256-byte sketches, no sets, and proposes a spanning forest of the pairs that look similar, likeliest first.
+3. The rest. The units of what is still apart propose every pair of different components that the sketches don't rule
+   out, so each pair that shares a key is then linked, connected or ruled out. This is exact whatever rounds 1 and 2 found.
+
+Every proposed pair is confirmed on full sets. A sketch has the least shingle hash of each of 256 ranges, cut to 8 bits; a
+pair is ruled out where its share of equal ranges is SLACK standard errors below the threshold, a chance under one in 10^8
+for a pair at the threshold. The pairs that round 3 confirms in vain are those of a similarity somewhat under the threshold.
+Components come from min-label propagation with pointer jumping, a written table each round. Nothing about documents reaches
+the driver but counts.
 
 Defined results: null and empty texts and texts of white space alone have an empty set and are linked with nothing; a row
-without an id keeps a null component and is kept; each row's text counts on its own, also where rows repeat an id, and
-groups with the same least id are one; an empty table gives an empty result; other columns don't matter.
+without an id keeps a null component and is kept; each row's text counts on its own, also where rows repeat an id, in
+whatever order; dedup() drops an id only if no row of it is kept; an empty table gives an empty result; other columns don't
+matter.
 """
 
 from __future__ import annotations
@@ -27,26 +35,27 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded, by_batch, cut
+from tidemark.session import passing
+
+from .common import bounded, by_batch, by_group, cut
 
 PERCENT = 80
 CHUNKS, CHUNK, ERRORS = 6, 6, 2
 SYMBOLS = CHUNKS * CHUNK
 #: Signatures up to this distance are guaranteed to share a key.
 RADIUS = (ERRORS + 1) * CHUNKS - 1
-#: Pairs that share a key are confirmed up to this distance.
+#: A star's pair is confirmed up to this distance; farther ones are left to the later rounds.
 MAX_DISTANCE = RADIUS + 4
 _LONGS = SYMBOLS // 4
 _SIGNATURE = [f"s{k}" for k in range(_LONGS)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20240607).integers(1, 2**63, size=(2, SYMBOLS), dtype=np.uint64)
 _XOR, _FACTOR = _SEEDS[0], _SEEDS[1] * np.uint64(2) + np.uint64(1)
-BLOCK = 512
+BLOCK, SKETCH, SLACK = 1024, 256, 6
 _WORDS_KEPT, _BLOCK = 200_000, 1 << 15
 
 
@@ -160,54 +169,49 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """For each of SKETCH equal ranges of hashes, 8 bits of the least hash of a sorted set in it; 0 where it has none."""
+    width = 2**64 // SKETCH
+    at = np.minimum(np.searchsorted(found, np.arange(SKETCH, dtype=np.uint64) * np.uint64(width)), len(found) - 1)
+    least = found[at]
+    inside = least // np.uint64(width) == np.arange(SKETCH, dtype=np.uint64)
+    return np.where(inside, _mixed(least) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8).tobytes()
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
-                found = [shingle_set(t.as_py(), width).view(np.int64) for t in part.column(1)]
+                found = [shingle_set(t.as_py(), width) for t in part.column(1)]
+                digests = [xxhash.xxh3_128_intdigest(x.tobytes()) for x in found]
                 ends = np.cumsum([0, *map(len, found)])
-                values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part.column(0), values], names=["id", "shingles"])
+                values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+                columns = [part.column(0), pa.array([(d >> 64) - 2**63 for d in digests], pa.int64()), pa.array([(d & (2**64 - 1)) - 2**63 for d in digests], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, values, pa.array([sketch(x) if len(x) else b"" for x in found], pa.binary())], names=["id", "hi", "lo", "shingles", "sketch"])
 
     return run
 
 
 def _full_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """id and shingles of the documents wanted (id)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(bounded(wanted, "wanted"), "id", "left_semi")
-    return cut(by_batch(texts, _sets(width), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    """node, shingles and sketch of the nodes wanted (node, id, hi, lo), from a document of each class."""
+    wanted = bounded(wanted, "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.select("id"), "id", "left_semi")
+    found = by_batch(texts, _sets(width), "id long, hi long, lo long, shingles array<long>, sketch binary")
+    return cut(found.join(wanted, ["id", "hi", "lo"]).select("node", "shingles", "sketch").dropDuplicates(["node"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose full sets are similar enough."""
-    a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(a, "a").join(b, "b").where(shared * 100 >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def _linked(percent: int):
-    """Links between different components of a unit: its left nodes with each other, or with its right nodes if it has any.
-
-    Nearest signatures come first, and a pair that earlier links have joined isn't looked at again.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", kind="stable")
-        left, right = rows[rows["left"]], rows[~rows["left"]]
-        alone = not len(right)
-        right = left if alone else right
-        sign = [np.ascontiguousarray(np.stack([x[c].to_numpy(np.int64) for c in _SIGNATURE], axis=1)).view(np.uint16) for x in (left, right)]
-        far = np.zeros((len(left), len(right)), np.int16)
-        for k in range(SYMBOLS):
-            far += sign[0][:, k][:, None] != sign[1][:, k][None, :]
-        n = [x["n"].to_numpy() for x in (left, right)]
-        comp = [x["component"].to_numpy() for x in (left, right)]
-        fits = np.minimum.outer(*n) * 100 >= np.maximum.outer(*n) * percent
-        i, j = np.nonzero((far <= MAX_DISTANCE) & fits & (comp[0][:, None] != comp[1][None, :]))
-        if alone:
-            i, j = i[i < j], j[i < j]
-        nodes, sets, out = [x["node"].to_numpy() for x in (left, right)], [x["shingles"].to_list() for x in (left, right)], []
+def _forest(likely: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The pairs of a spanning forest over n components: pair k joins x[k] and y[k]; those of the highest likely come first."""
+    left, kept, label = np.argsort(-likely, kind="stable"), [], np.arange(n)
+    while len(left):
         parent: dict[int, int] = {}
 
         def find(c: int) -> int:
@@ -215,80 +219,132 @@ def _linked(percent: int):
                 c = up
             return c
 
-        for k in np.argsort(far[i, j], kind="stable"):
-            x, y = i[k], j[k]
-            cx, cy = find(int(comp[0][x])), find(int(comp[1][y]))
-            if cx != cy:
-                shared = len(np.intersect1d(sets[0][x], sets[1][y], assume_unique=True))
-                if shared * 100 >= percent * (n[0][x] + n[1][y] - shared):
-                    out.append((nodes[0][x], nodes[1][y]))
-                    parent[cx] = cy
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        for k in left[: 4 * n].tolist():
+            a, b = find(int(label[x[k]])), find(int(label[y[k]]))
+            if a != b:
+                parent[a] = b
+                kept.append(k)
+        label = np.array([find(int(c)) for c in label])
+        left = left[4 * n :]
+        left = left[label[x[left]] != label[y[left]]]
+    return np.array(kept, np.int64)
+
+
+def _proposed(percent: int, forest: bool):
+    """Pairs a, b of different components in a unit: its left nodes with each other, or with its right nodes if it has any."""
+
+    def run(unit: pa.RecordBatch) -> pa.RecordBatch | None:
+        is_left = unit.column(3).to_numpy(zero_copy_only=False)
+        node, comp, n = (unit.column(k).to_numpy(zero_copy_only=False) for k in (4, 5, 6))
+        marks = np.frombuffer(b"".join(unit.column(7).to_pylist()), np.uint8).reshape(-1, SKETCH)
+        _, comp = np.unique(comp, return_inverse=True)
+        rows, columns = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        alone = not len(columns)
+        columns = rows if alone else columns
+        fits = np.minimum.outer(n[rows], n[columns]) * 100 >= np.maximum.outer(n[rows], n[columns]) * percent
+        fits &= comp[rows][:, None] != comp[columns][None, :]
+        if alone:
+            fits &= np.less.outer(rows, columns)
+        i, j = np.nonzero(fits)
+        out = []
+        for k in range(0, len(i), 1 << 16):
+            a, b = rows[i[k : k + (1 << 16)]], columns[j[k : k + (1 << 16)]]
+            ma, mb = marks[a], marks[b]
+            either = ((ma | mb) != 0).sum(axis=1)
+            equal = ((ma == mb) & (ma != 0)).sum(axis=1)
+            share, p = equal / either, percent / 100
+            ok = share >= (p if forest else p - SLACK * np.sqrt(p * (1 - p) / either))
+            out.append((a[ok], b[ok], share[ok]))
+        a, b, share = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+        if forest and len(a):
+            kept = _forest(share, comp[a], comp[b], int(comp.max()) + 1)
+            a, b = a[kept], b[kept]
+        if not len(a):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
 
     return run
 
 
-def _units(members: DataFrame) -> DataFrame:
-    """members (family, node, component) with the units they go to: family, x, y and whether they are on the left.
+def _units(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """key, x, y, left, node, component: the nodes of the keys that hold several components, in the units where they meet.
 
-    In each family the largest component is one side; the others' nodes, in blocks, meet each other and its blocks. Nodes of
-    one component never meet, so a family of near copies that are linked already costs nothing.
+    Keys with the same nodes are one. A key of up to BLOCK nodes is one unit. In a larger one the largest component is one
+    side; the others' nodes, in blocks, meet each other and its blocks, but its own nodes never meet.
     """
-    each = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m"))
-    shape = each.groupBy("family").agg(F.max(F.struct("m", (-F.col("component")).alias("c"))).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    shape = shape.select("family", (-F.col("top.c")).alias("main"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("top.m") / BLOCK).cast("int").alias("many"))
-    placed = members.join(shape, "family")
+    placed = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = cut(placed, "placed")
+    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("print")).where("low < high")
+    apart = bounded(apart.groupBy("print", "m").agg(F.min("key").alias("key")).select("key", "m"), "apart")
+    members = cut(placed.join(apart, "key"), "members")
+    small = members.where(F.col("m") <= BLOCK).select("key", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(True).alias("left"), "node", "component")
+
+    large = members.where(F.col("m") > BLOCK)
+    each = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    shape = each.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+    shape = bounded(shape.select("key", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("many")), "shape")
     is_main = F.col("component") == F.col("main")
     at = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("many")).otherwise(F.col("few"))).cast("int")
-    placed = placed.withColumn("at", at)
     # y below 0 stands for block -1 - y of the largest component
     to_main = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda k: F.struct(F.col("at").alias("x"), (-1 - k).alias("y"), F.lit(True).alias("left")))
     to_few = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda k: F.struct(F.least("at", k).alias("x"), F.greatest("at", k).alias("y"), (F.col("at") <= k).alias("left")))
     of_main = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda k: F.struct(k.alias("x"), (-1 - F.col("at")).alias("y"), F.lit(False).alias("left")))
     goes = F.when(is_main, of_main).otherwise(F.concat(to_main, to_few))
-    return placed.withColumn("u", F.explode(goes)).select("family", "u.x", "u.y", "u.left", "node", "component")
+    blocks = large.join(shape, "key").withColumn("at", at).withColumn("u", F.explode(goes)).select("key", "u.x", "u.y", "u.left", "node", "component")
+    return small.union(blocks)
+
+
+def _more(shared: DataFrame, found: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Confirmed links between different components of found, of nodes that share a key."""
+    units = _units(shared, found).join(sets.select("node", F.size("shingles").alias("n"), "sketch"), "node")
+    pairs = by_group(units.select("key", "x", "y", "left", "node", "component", "n", "sketch"), 3, _proposed(percent, forest), "a long, b long")
+    return cut(_confirmed(bounded(pairs.distinct(), "proposed"), sets, percent), "links")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
     """id_col, n_shingles, component_id, kept for each row of docs."""
-    rows = cut(profiles(docs, id_col, text_col, width), "profiles")
-    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("node"), F.max("n").alias("n"), *(F.max(s).alias(s) for s in _SIGNATURE))
-    classes = cut(classes, "classes")
-    # n shared of n + 1 is the most that different sets of n or more can have in common.
-    able = classes.where(F.col("n") * 100 >= percent * (F.col("n") + 1))
-    keys = by_batch(able.select("node", *_SIGNATURE), _keyed, "key long, node long")
-    least = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    side = able.select("node", "n", *_SIGNATURE)
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-    shared = cut(keys.join(least.select("key", "least"), "key").join(able.select("node", band.alias("band")), "node"), "shared-keys")
-    hubs = shared.groupBy("key", "band").agg(F.min("node").alias("hub"))
-    near = shared.join(hubs.union(hubs.select("key", F.col("band") - 1, "hub")), ["key", "band"])
-    stars = shared.select(F.col("least").alias("a"), F.col("node").alias("b")).union(near.select("hub", "node"))
-    stars = cut(stars.where("a <> b").distinct(), "stars")
-    family = components(stars)
-    tried = stars.join(side.alias("x"), F.col("x.node") == F.col("a")).join(side.alias("y"), F.col("y.node") == F.col("b"))
-    tried = cut(tried.where(_alike("x", "y", percent)).select("a", "b", _distance("x", "y").alias("far")), "tried")
-
-    sets = _full_sets(family.select(F.col("node").alias("id")), docs, id_col, text_col, width)
-    nearest = tried.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select("m.a", "b")
-    links = cut(_confirmed(nearest, sets, percent), "links")
-    found = components(links)
-
-    members = family.select("node", F.col("component").alias("family")).join(found, "node", "left").select("family", "node", F.coalesce("component", "node").alias("component"))
-    units = _units(cut(members, "members")).join(side, "node").join(sets.select(F.col("id").alias("node"), "shingles"), "node")
-    more = cut(units.groupBy("family", "x", "y").applyInPandas(_linked(percent), "a long, b long"), "more-links")
-    if not more.isEmpty():
-        found = components(links.union(more))
-
-    known = classes.join(found, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
-    known = known.groupBy("hi", "lo").agg(F.min("component").alias("component"))
+    with passing(docs.sparkSession) as keep:
+        rows = keep(cut(profiles(docs, id_col, text_col, width), "profiles"))
+        classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), *(F.max(s).alias(s) for s in _SIGNATURE))
+        # The numbers hold from here on, since the table is written and read back.
+        classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+        # n shared of n + 1 is the most that different sets of n or more can have in common.
+        able = classes.where(F.col("n") * 100 >= percent * (F.col("n") + 1))
+        keys = by_batch(able.select("node", *_SIGNATURE), _keyed, "key long, node long")
+        several = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+        band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+        shared = cut(keys.join(several.select("key"), "key").join(able.select("node", band.alias("band")), "node"), "shared-keys")
+
+        hubs = shared.groupBy("key", "band").agg(F.min("node").alias("hub"))
+        both = bounded(hubs.union(hubs.select("key", F.col("band") - 1, "hub")), "hubs")
+        votes = shared.join(both, ["key", "band"]).where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("keys"))
+        partner = votes.groupBy("node").agg(F.max(F.struct("keys", (-F.col("hub")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), F.col("node").alias("b"))
+        side = able.select("node", "n", *_SIGNATURE)
+        tried = cut(partner, "stars").join(side.alias("x"), F.col("x.node") == F.col("a")).join(side.alias("y"), F.col("y.node") == F.col("b"))
+        tried = tried.where(_alike("x", "y", percent)).select("a", "b")
+
+        wanted = classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "id", "hi", "lo")
+        sets = _full_sets(wanted, docs, id_col, text_col, width)
+        links = cut(_confirmed(tried, sets, percent), "links")
+        found = components(links)
+        for forest in (True, False):
+            more = _more(shared.select("key", "node"), found, sets, percent, forest)
+            if not more.isEmpty():
+                links = links.union(more)
+                found = components(links)
+
+        linked = found.join(classes.select("node", "hi", "lo", "id"), "node")
+        named = linked.groupBy("component").agg(F.min("id").alias("least"))
+        known = linked.join(named, "component").select("hi", "lo", "least")
+        copied = classes.where("copies > 1").join(found, "node", "left_anti").select("hi", "lo", F.col("id").alias("least"))
+        known = keep(bounded(known.union(copied), "known"))
     out = rows.select("id", "n", "hi", "lo").join(known, ["hi", "lo"], "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
+    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("least", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group: that with the least id."""
-    gone = groups(docs, id_col, text_col, width, percent).where("NOT kept").select(F.col(id_col).alias("__tm_gone")).distinct()
-    gone = bounded(gone, "gone")
+    ids = groups(docs, id_col, text_col, width, percent).groupBy(F.col(id_col).alias("__tm_gone")).agg(F.max("kept").alias("kept"))
+    gone = bounded(ids.where("NOT kept").select("__tm_gone"), "gone")
     return docs.join(gone, docs[id_col].cast("long") == gone["__tm_gone"], "left_anti")

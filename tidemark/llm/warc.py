@@ -23,7 +23,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bounded, by_batch, fresh_path
+from tidemark.session import scratch
+
+from .common import bounded, by_batch
 
 REVISIT_BYTES, FILE_BYTES = 1000, 16 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -197,6 +199,6 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
 
 def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
     """pages written to archives in the shared folder and read back."""
-    path = fresh_path(pages.sparkSession, "warc")
+    path = scratch(pages.sparkSession, "warc")
     write(pages, path, **columns)
     return read(pages.sparkSession, path)
