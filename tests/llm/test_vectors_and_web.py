@@ -4,9 +4,12 @@ import base64
 import gzip
 import hashlib
 import random
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +153,138 @@ def test_surge_and_dive():
     assert html_text.spans([], 1) == [] and html_text.spans([5], 1) == [(0, 1)]
 
 
+class Tree(HTMLParser):
+    """Pages as nested lists [name, parts], with the ends that paragraphs and items leave out."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.open = [["", {}, []]]
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, name, attributes):
+        if name in ("p", "li") and self.open[-1][0] == name:
+            self.open.pop()
+        node = [name, {k: v or "" for k, v in attributes}, []]
+        self.open[-1][2].append(node)
+        if name not in html_text.VOID:
+            self.open.append(node)
+
+    def handle_endtag(self, name):
+        if name in [x[0] for x in self.open[1:]]:
+            while self.open.pop()[0] != name:
+                pass
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def plain_extract(html):
+    """The method on a tree: lines, sums over all windows, stretches, and the articles or elements that they choose."""
+    lines = []  # text, outside links, article, element of the paragraph
+
+    def walk(node, article, owner, linked):
+        name, attributes, parts = node
+        tokens = {t for k in ("class", "id") for t in attributes.get(k, "").lower().split()}
+        if name in html_text.BOILERPLATE or name == "header" and not article or tokens & html_text.NAMES:
+            lines.extend([("", 0, None, None)] * 3)
+            return
+        article = article or (id(node) if name in ("article", "main") else None)
+        if name not in html_text.BETWEEN | html_text.INLINE:
+            owner = id(node)
+        buffer = node[3:] and node[3] or []
+
+        def flush():
+            text = " ".join("".join(t for t, _ in buffer).split())
+            if text:
+                own = owner if name in html_text.PARAGRAPHS else None
+                lines.append((text, sum(c.isalnum() for t, k in buffer for c in t if not k) if any(k for _, k in buffer) else len(text), article, own))
+            buffer.clear()
+
+        def inline(part, linked):
+            if isinstance(part, str):
+                buffer.append((part, linked))
+            elif part[0] == "br":
+                buffer.append((" ", linked))
+            elif part[0] in html_text.INLINE:
+                for x in part[2]:
+                    inline(x, linked or part[0] == "a")
+            else:
+                flush()
+                walk(part, article, owner, linked)
+
+        for part in parts:
+            inline(part, linked)
+        flush()
+
+    walk(Tree(html or "").open[0], None, None, False)
+    has = any(a for _, _, a, _ in lines)
+    weight = [n * (10 if a or not has else 1) for _, n, a, _ in lines]
+    if not any(weight):
+        weight = [len(t) * (10 if a or not has else 1) for t, _, a, _ in lines]
+    sums = [sum(weight[i : i + 3]) for i in range(len(weight))]
+    least = max(1, int(0.15 * max(sums, default=0)))
+    state, stretch, k = False, [None] * len(lines), 0
+    for i, x in enumerate(sums):
+        k += not state and x >= least
+        state = x >= least or state and x > 0
+        stretch[i] = k if state else None
+    chosen = {}
+    for i, (_, _, a, _) in enumerate(lines):
+        if stretch[i] and weight[i]:
+            chosen[a or -stretch[i]] = chosen.get(a or -stretch[i], 0) + weight[i]
+    articles = {a for a in chosen if a > 0}
+    if articles and max(chosen[a] for a in articles) >= max((w for a, w in chosen.items() if a < 0), default=0):
+        return "\n\n".join(t for t, _, a, _ in lines if t and a in articles)
+    kept = set()
+    for s in {-a for a in chosen if a < 0}:
+        ends = [i for i in range(len(lines)) if stretch[i] == s and weight[i] and not lines[i][2]]
+        kept |= {i for i in range(ends[0], ends[-1] + 1) if lines[i][0] and not lines[i][2]}
+    owners = {lines[i][3] for i in kept} - {None}
+    return "\n\n".join(x[0] for i, x in enumerate(lines) if x[0] and not x[2] and (i in kept or x[3] in owners))
+
+
+LONG = "A sentence of the story that goes on for a while. " * 8
+SHAPED = [
+    f"<body><div><a href=1>Home</a></div><div>Menu</div><div class=x><a>one</a> <a>two</a></div><div><h1>Title</h1><p>{LONG}</p><div class=ad>Buy</div><p>{LONG}</p><div class=ad>Buy</div><p>The end.</p></div><div><a href=2>Terms</a></div>",
+    f"<body><article><p>Teaser</p></article><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>",
+    f"<main><h1>T</h1><p>{LONG}<p>short</main><main><p>{LONG}</p></main><article><p>x</article>",
+    "<ul><li><a href=1>first</a><li><a href=2>second link</a></ul>",
+]
+
+
+def test_extract_against_plain_version():
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).to_pylist()]
+    for html in [*pages, *SHAPED]:
+        assert html_text.extract(html) == plain_extract(html)
+
+
+def test_windows_decide():
+    story, teaser, *_ = SHAPED
+    assert html_text.extract(story).startswith("Title\n\nA sentence") and html_text.extract(story).endswith("The end.")
+    # With a threshold of one character every line surges, and with windows of a line the stretch ends at each short one.
+    assert "Menu" in html_text.extract(story, peak=0) and html_text.extract(story, window=1) != html_text.extract(story, peak=0)
+    assert "Teaser" not in html_text.extract(teaser) and LONG.strip() in html_text.extract(teaser)
+    far = f"<div>{LONG}</div><div class=ad></div><div class=ad></div><div>cookies are used</div>"
+    assert html_text.extract(far) == LONG.strip() and "cookies" in html_text.extract(far, peak=0)
+
+
+@pytest.mark.parametrize("part", ["<p style='display:block;float:none'>stay</p>", "<p><math><mi>stay</mi></math></p>", "<section class='search-results social-policy'><p>stay</p></section>", "<p data-id=ad class='reads-ad-hoc'>stay</p>"])
+def test_parts_of_the_article_stay(part):
+    assert html_text.extract(f"<article><p>one</p>{part}<p>two</p></article>") == "one\n\nstay\n\ntwo"
+
+
+@pytest.mark.parametrize("part", ["<p style='color:red; DISPLAY : none'>go</p>", "<div class='site-footer'>go</div>", "<div id='cookieNotice'>go</div>", "<div class='big ad-300x250'>go</div>", "<div class='comments-area'><p>go</p></div>"])
+def test_boilerplate_goes(part):
+    assert html_text.extract(f"<article><p>one</p>{part}<p>two</p></article>") == "one\n\ntwo"
+
+
+def test_deep_and_unmatched_markup_is_linear():
+    deep = "<div>" * 100_000 + "<p>x</p>" + "</p>" * 100_000 + "</div>" * 100_000 + "<b>" + "<div>" * 50_000 + "</b>" * 50_000 + "<p>y"
+    began = time.time()
+    assert html_text.extract(deep) == "x\n\ny" and time.time() - began < 20
+
+
 def test_main_text_table(spark):
     pages = spark.createDataFrame([(k, f"u{k}", h) for k, (h, _) in enumerate(HTML)] + [(None, None, "<p>é"), (2, "u2", "plain")], "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("id", F.lit(2))
     got = html_text.main_text(pages)
