@@ -71,6 +71,86 @@ def test_prediction_ignores_labels(spark, documents):
     assert [r[:2] for r in a] == [r[:2] for r in b] and all(abs(x.score - y.score) < 1e-6 for x, y in zip(a, b))
 
 
+def test_windows_label_each_byte_once():
+    """A text's sums are those of its windows, each read with its context; every byte is counted once."""
+    net = langid.Network.fresh(["a", "b", "c"], seed=3)
+    text = bytes(np.random.default_rng(1).integers(97, 123, 3 * langid.CORE + 50).astype(np.uint8))
+    got = net.pooled([b"", text, text[:5]])
+    want = np.zeros(7)
+    for k in range(0, len(text), langid.CORE):
+        low = max(0, k - langid.CONTEXT)
+        x, mask = langid.encode([text[low : k + langid.CORE + langid.CONTEXT]])
+        p = net.log_posteriors(net.states(x, mask))[k - low : k - low + langid.CORE, :, 0]
+        want += [*p.sum(axis=0), *np.exp(p).sum(axis=0), len(p)]
+    assert np.allclose(got[1], want, rtol=1e-4) and not got[0].any() and got[2][-1] == 5
+
+
+def test_prediction_against_plain_network(spark):
+    """lang_pred and score of op9's scoring against a byte-by-byte version in plain Python loops."""
+    net = langid.Network.fresh(["de", "en"], seed=5)
+    texts = ["Hello World", "x", None, "123", "ÄÖ ü 1", "a b " * 30]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(table(spark, [(k, t, "en") for k, t in enumerate(texts)]), net, keep=["doc_id"]).collect()}
+    w, n, sig = net.weights, langid.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    for k, text in enumerate(texts):
+        if text is None or not any(c.isalpha() for c in text):
+            assert got[k] == ("und", 0.0)
+            continue
+        data, states = text.lower().encode(), {}
+        for way in "fb":
+            h, out = np.zeros(n), {}
+            for t in range(len(data)) if way == "f" else reversed(range(len(data))):
+                g = w["embed"][data[t]] @ w[f"{way}_x"] + w[f"{way}_b"]
+                zr = sig(g[: 2 * n] + h @ w[f"{way}_h"][:, : 2 * n])
+                c = np.tanh(g[2 * n :] + (zr[n:] * h) @ w[f"{way}_h"][:, 2 * n :])
+                h = out[t] = h + zr[:n] * (c - h)
+            states[way] = out
+        p = np.array([np.concatenate([states["f"][t], states["b"][t]]) @ w["out"] + w["out_b"] for t in range(len(data))])
+        p = np.exp(p - p.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        best = int(np.log(p).sum(axis=0).argmax())
+        assert got[k][0] == net.languages[best] and abs(got[k][1] - p[:, best].mean()) < 1e-4
+
+
+def test_many_classes_are_learned(spark):
+    """300 languages, 40 grades and 80 domains: none is left out."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(900)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(words[3 * (k % 300) : 3 * (k % 300) + 3], 8)), f"l{k % 300:03}") for k in range(1500)], "doc_id long, text string, lang string")
+    network = langid.fit(docs, F.lit(True), "text", "lang", "doc_id", steps=40)
+    assert network.languages == [f"l{k:03}" for k in range(300)]
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 40).alias("toxic")))
+    assert model.values == [float(k) for k in range(40)] and len(model.thresholds) == 39
+    domains = docs.select("doc_id", F.format_string("d%02d", F.col("doc_id") % 80).alias("domain"))
+    got = mixing.mix(docs, domains, {f"d{k:02}": 1 / 80 for k in range(80)}, rounds=2)
+    assert all(len(r.posterior) == 80 for r in got.limit(3).collect())
+
+
+def test_clashing_names_and_repeated_ids(spark, documents):
+    labels = documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b").alias("domain")).where("doc_id % 4 < 3")
+    few = documents.where("doc_id < 40").select("*", F.lit("x").alias("rate"), F.lit(1).alias("posterior"), F.lit(2).alias("n_tokens"), F.lit(3).alias("lang_pred"), F.lit(4).alias("score"))
+    got = mixing.mix(few.union(few), labels, {"a": 0.5, "b": 0.5}, keep=few.columns)
+    assert len(set(got.columns)) == len(got.columns) and got.schema["rate"].dataType.simpleString() == "double" and got.count() == 80
+    out = langid.predict(few, langid.Network.fresh(["a", "b"]))
+    assert len(set(out.columns)) == len(out.columns) == len(few.columns) and {r.lang_pred for r in out.collect()} <= {"a", "b", "und"}
+    grades = labels.select("doc_id", (F.col("domain") == "a").cast("int").alias("toxic"))
+    assert toxicity.fit(few.union(few.withColumn("text", F.lit("zz"))), grades).values == [0.0, 1.0]
+
+
+def test_severity_against_plain_version(spark):
+    """op8's scoring against sums over the features of each text."""
+    texts = ["bad good", None, "", "Bad BAD badly worse", "plain"]
+    values = sorted({int(b) for t in texts for b in toxicity.features(t)})
+    weights = dict(zip(values, np.linspace(-2, 3, len(values)).tolist()))
+    model = toxicity.Ordinal([0.0, 1.0, 3.0], np.array(values, np.int32), np.array(list(weights.values())), np.array([0.2, 1.5]))
+    got = {r.doc_id: r for r in toxicity.score(table(spark, [(k, t, "en") for k, t in enumerate(texts)]), model).collect()}
+    for k, text in enumerate(texts):
+        x = sum(weights[int(b)] for b in toxicity.features(text))
+        above = [1 / (1 + np.exp(t - x)) for t in (0.2, 1.5)]
+        chances = [1 - above[0], above[0] - above[1], above[1]]
+        assert np.allclose(got[k].chances, chances) and abs(got[k].severity - (chances[1] + 3 * chances[2])) < 1e-9
+        assert got[k].grade == [0.0, 1.0, 3.0][int(np.argmax(chances))]
+
+
 def test_toxicity_held_out_accuracy_and_odd_rows(spark):
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     seen = labels.where("doc_id % 3 <> 1").withColumn("severity", F.lit(9))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.plans.groups import grouped
 from tidemark.session import settle, ship
@@ -34,6 +34,17 @@ def bounded(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def drawn(rows: DataFrame, counts: DataFrame, by: str, quota: int, seed: str) -> DataFrame:
+    """rows (id, by), of each class at most quota, drawn by a hash of the id; counts (by, n) are the sizes of the classes.
+
+    The rank within a class is only taken among the first 1.25 times quota or so of its hashes, so no task sorts a class.
+    """
+    place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
+    few = rows.join(counts, by).where(place * F.col("n") < (1.25 * quota + 20) * float(1 << 30))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(place, "id"))
+    return few.withColumn("rank", rank).where(F.col("rank") <= quota).select(*rows.columns)
+
+
 def word_array(text: Column) -> Column:
     """The lower-cased words; none if text is null. Splitting costs half of what extracting the words does."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NO_WORD), "")

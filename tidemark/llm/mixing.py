@@ -8,11 +8,13 @@ is held at 0, and a term RIDGE keeps rates near 1 where targets leave them free.
 and posterior and on the D-vector of each round alone: each round is one aggregation to D sums, and rates are folded from
 the list of those vectors, so nothing about documents is gathered or carried along.
 
-The classifier takes a bounded sample, at most DOCS_A_DOMAIN documents of each label drawn by a hash; sums cover all rows.
+The classifier takes a bounded sample, at most DOCS_A_DOMAIN documents of each label and SAMPLE of all, drawn by a hash; every
+label is a domain, however many there are. Sums cover all rows.
 
 Defined results: null and empty texts have 0 tokens, the prior's posterior and a rate like any other; null labels are left
 out, a document labelled twice has its greatest label; domains without a labelled document get no share (targets are
-scaled to the others); without labels all rates are 1; repeated rows count each; an empty table gives an empty result.
+scaled to the others); without labels all rates are 1; repeated rows count each; an empty table gives an empty result; a
+kept column called n_tokens, posterior or rate gives way to the new one.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import by_batch, cut
+from .common import bounded, by_batch, cut, drawn
 from .toxicity import _WORD, features, features_of
 
-DOCS_A_DOMAIN, DOMAINS = 1500, 64
+DOCS_A_DOMAIN, SAMPLE = 1500, 12_000
 LEAST_DOCS, STEPS, RATE, L1 = 4, 120, 0.05, 2e-4
 ROUNDS, CLOSE, RIDGE, _KEPT = 60, 1e-6, 1e-6, 200_000
 
@@ -102,13 +104,9 @@ def _members(model: Softmax):
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, domain_col: str) -> Softmax | None:
     graded = labelled.where(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(domain_col).cast("string")).alias("domain"))
-    counts = graded.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(DOMAINS).collect()
-    drawn, wanted = F.pmod(F.xxhash64("id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30), F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col("domain") == r["domain"]) & (drawn < min(1.0, DOCS_A_DOMAIN / r["count"])))
-    # limit() only makes the bound certain: the draw aims at DOCS_A_DOMAIN of each domain.
-    sample = graded.where(wanted).orderBy(F.xxhash64("id"), "id").limit(int(1.25 * DOCS_A_DOMAIN * max(1, len(counts))))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    counts = bounded(graded.groupBy("domain").agg(F.count(F.lit(1)).alias("n")), "domains")
+    sample = drawn(graded, counts, "domain", max(1, min(DOCS_A_DOMAIN, SAMPLE // max(1, counts.count()))), "mix")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").groupBy("id", "domain").agg(F.min("text").alias("text"))
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +187,7 @@ def fit_rates(members: DataFrame, d: int, targets: np.ndarray, rounds: int = ROU
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", keep: list[str] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """The columns keep (id_col alone, if None) with n_tokens, posterior (a map by domain) and rate behind them."""
-    keep = [id_col] if keep is None else keep
+    keep = [c for c in ([id_col] if keep is None else keep) if c not in ("n_tokens", "posterior", "rate")]
     model = fit_classifier(docs, labelled, id_col, text_col, domain_col) or Softmax(["all"], np.empty(0, np.int32), np.empty((0, 1)), np.zeros(1))
     kinds = {f"c{k}": docs.schema[c].dataType.simpleString() for k, c in enumerate(keep)}
     rows = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(keep)), F.col(text_col).cast("string").alias("seen"))

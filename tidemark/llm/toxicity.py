@@ -3,7 +3,8 @@
 P(grade > k) = sigmoid(w . x - theta_k): one weight vector for all thresholds theta_0 < theta_1 < ..., so the grades are
 ordered along one axis. x marks which hashed features a text has: its words and their first four and five letters. The
 weights are fitted here by Adam on the negative log-likelihood with soft thresholding, which leaves most of them at zero.
-The fit takes a bounded sample: at most DOCS_A_GRADE labelled documents of each grade, drawn by a hash of doc_id, whole texts.
+The fit takes a bounded sample of whole texts: at most DOCS_A_GRADE labelled documents of each grade, and SAMPLE of all, drawn
+by a hash of doc_id. Every grade that has a label is learned, however many there are.
 A document's severity is its expected grade.
 
 Defined results: a null or empty text, or one without known features, gets what the thresholds alone give; labels that are
@@ -22,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_batch
+from .common import bounded, by_batch, drawn
 
-DOCS_A_GRADE, GRADES = 2000, 32
+DOCS_A_GRADE, SAMPLE = 2000, 8000
 BUCKETS, LEAST_DOCS = 1 << 20, 4
 STEPS, RATE, L1 = 150, 0.05, 2e-4
 _WORD = re.compile(r"[^\W_]+")
@@ -133,16 +134,12 @@ def _scored(model: Ordinal):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_a_grade: int = DOCS_A_GRADE) -> Ordinal:
     graded = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("double")).alias("label"))
-    counts = graded.groupBy("label").count().orderBy(F.desc("count"), "label").limit(GRADES).collect()
-    values = sorted(r["label"] for r in counts)
+    counts = bounded(graded.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "grades")
+    values = sorted(r["label"] for r in counts.select("label").collect())
     if len(values) < 2:
         return Ordinal(values * 2 or [0.0, 0.0], np.empty(0, np.int32), np.empty(0), np.zeros(1))
-    drawn, wanted = F.pmod(F.xxhash64("id", F.lit("grade")), F.lit(1 << 30)) / float(1 << 30), F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col("label") == r["label"]) & (drawn < min(1.0, docs_a_grade / r["count"])))
-    # limit() only makes the bound certain: the draw aims at docs_a_grade of each grade.
-    sample = graded.where(wanted).orderBy(F.xxhash64("id"), "id").limit(int(1.25 * docs_a_grade * len(values)))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    sample = drawn(graded, counts, "label", max(1, min(docs_a_grade, SAMPLE // len(values))), "grade")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
