@@ -3,6 +3,10 @@
 Language ID drops texts without a letter and those no language explains; line dedup takes out lines that a tenth of a
 source's distinct texts share; near-dedup keeps one document of each group; decontamination drops documents that contain a
 benchmark item; mixing gives each remaining document a rate.
+
+Defined results: null and empty texts go in the first stage; repeated rows stay until near-dedup, which drops an id only if no
+row of it is kept; rows without an id stay; null sources are one source; extra columns pass through, but for n_tokens,
+posterior and rate, which the last stage writes; n_chars follows the cleaned text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ MIN_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     network = langid.fit(docs, ~langid.held_out("doc_id") & F.col("doc_id").isNotNull(), "text", "lang", "doc_id")
-    found = langid.predict(docs, network)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    found = langid.predict(docs, network, lang_name="__tm_lang", score_name="__tm_score")
+    return found.where((F.col("__tm_lang") != langid.UNKNOWN) & (F.col("__tm_score") >= MIN_SCORE)).select(*docs.columns)
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
