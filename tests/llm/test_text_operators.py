@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -57,6 +58,65 @@ def test_license_scan_against_brute_force(spark):
     assert L.scan(docs.limit(0)).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. N. Author
+
+""" + L._MIT.replace("free of charge, to any", "free of charge,\n to any").replace("to deal in the Software", "to deal freely in the said Software")
+FULL = [
+    (MIT, "mit"), ("/* " + L._APACHE.replace(" ", "\n * ") + " */", "apache-2.0"), ("Copyright 2001 X. All rights reserved.\n" + L._BSD_2, "bsd,reserved"), (L._BSD_2 + "\n" + L._BSD_3.replace("the copyright holder", "the ACME company"), "bsd,bsd-3-clause"),
+    (L._GNU.format("General", "3"), "gpl,gpl-3.0"), (L._GNU.format("Lesser General", "2.1"), "gpl,lgpl"), (L._MPL, "mpl-2.0"), (L._ISC, "isc"), (L._ZLIB, "zlib"), (L._UNLICENSE, "unlicense"), ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3", "agpl,gpl"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ""), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa-4.0"), ("the terms of a licence", ""),
+]
+
+
+def brute_labels(texts):
+    """labels and score of each text, by trying every place of every template."""
+    split = [WORD.findall(ascii_lower(t)) for t in texts]
+    idf = {"": -1.0}
+    for t in (*L.BASE, *L.NOTICES):
+        for w in t.words:
+            idf[w] = np.log((len(split) + 1) / (sum(w in x for x in split) + 1)) + 1e-3
+    rarest = lambda words: words.index(max(words, key=lambda w: idf[w]))
+    out = []
+    for words in split:
+        labels, score = set(), 0.0
+        at = lambda i: words[i] if 0 <= i < len(words) else None
+        for t in (*L.BASE, *L.NOTICES):
+            for i in range(len(words) - len(t.key_words) + 1):
+                if words[i : i + len(t.key_words)] == t.key_words:
+                    got, start = 0.0, i - t.key_at
+                    for begin, piece in L.pieces(t):
+                        a = rarest(piece)
+                        b = rarest([w if w != piece[a] else "" for w in piece]) if len(set(piece)) > 1 else a
+                        got += max((sum(idf[w] for j, w in enumerate(piece) if at(start + begin + d + j) == w) for d in range(-L.DRIFT, L.DRIFT + 1) if at(start + begin + d + a) == piece[a] or at(start + begin + d + b) == piece[b]), default=0.0)
+                    share = 1.0 if t in L.BASE else min(1.0, got / sum(idf[w] for w in t.words))
+                    if share >= L.MIN_SHARE:
+                        labels.add(t.label)
+                        score = max(score, share)
+        out.append((",".join(sorted(labels)), score))
+    return out
+
+
+def test_license_texts_against_brute_force(spark):
+    texts = [t for t, _ in FULL] + [t for t in LICENSE_TEXTS if len(t or "") < 1000] + [f"plain text {k}" for k in range(20)]
+    got = {r.doc_id: r for r in L.scan(table(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    for k, (labels, score) in enumerate(brute_labels(texts)):
+        assert got[k].labels == labels and abs(got[k].score - score) < 1e-9, texts[k]
+    assert [got[k].labels for k in range(len(FULL))] == [want for _, want in FULL]
+
+
+def test_license_scan_is_linear(spark):
+    """Places of a key phrase, and of a long template's, by the hundred thousand."""
+    took = []
+    for n in (5_000, 200_000):
+        text = "cc by " * n + "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files " * (n // 40)
+        began = time.time()
+        assert L.scan(table(spark, [(1, text, "s")])).first().n_base == n
+        took.append(time.time() - began)
+    assert took[1] < 40 * took[0]
+
+
 LINES = [(1, "menu\na\nb", "h"), (2, "menu\nc", "h"), (3, "menu\nd\nmenu\n\n", "h"), (3, "menu\nd\nmenu\n\n", "h"), (4, None, "h"), (5, "", "h"), (6, "menu", "h"), (7, "menu\nx", None), (8, "menu", None), (9, "menu", None), (None, "only", "k")] + [(100 + k, f"line {k}\nshared", "g") for k in range(40)] + [(200, "shared", "h")]
 
 
@@ -165,8 +225,10 @@ def test_near_dup_behind_shorter_variants(spark):
     assert sum(r.kept for r in got) == 61
 
 
-def test_near_dup_behind_excerpts_in_blocks(spark, monkeypatch):
-    """Excerpts with lesser ids hide two full copies that differ by an end; keys are cut into blocks of four nodes."""
+@pytest.mark.parametrize("full, sparse", [(2048, 1), (300, 16)])
+def test_near_dup_behind_excerpts_in_blocks(spark, monkeypatch, full, sparse):
+    """Excerpts with lesser ids hide two full copies that differ by an end; families are cut into blocks of four nodes, or
+    into keys where that sends less, and sets are known by all or by 300 of their hashes."""
     rows = []
     for seed in range(16):
         rng = random.Random(seed)
@@ -175,7 +237,9 @@ def test_near_dup_behind_excerpts_in_blocks(spark, monkeypatch):
             cut = rng.randrange(131)
             rows.append((at + k, " ".join(text[cut : cut + 770]), "s"))
         rows += [(at + 50 + k, " ".join(text + [f"s{seed}e{k}x{i}" for i in range(80)]), "s") for k in range(2)]
-    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    rows += [(5000 + k, " ".join(f"c{i}" for i in range(7 * k, 7 * k + 100)), "s") for k in range(90)]  # a long family of few ties
+    for k, v in (("BLOCK", 4), ("SPARSE", sparse), ("FULL", full)):
+        monkeypatch.setattr(near_dup, k, v)
     got = near_dup.groups(table(spark, rows), width=2).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_groups(rows, 2))
 
@@ -190,15 +254,7 @@ def test_near_dup_with_repeated_ids(spark, order):
     assert sorted(r.doc_id for r in near_dup.dedup(table(spark, rows), width=2).collect()) == [7, 7, 7]
 
 
-def test_forest_spans_and_sketch_tells_similarity():
-    rng = np.random.default_rng(2)
-    x, y, n = rng.integers(0, 60, 900), rng.integers(0, 60, 900), 60
-    kept = near_dup._forest(rng.random(900), x, y, n)
-    label = np.arange(n)
-    for k in kept:
-        assert label[x[k]] != label[y[k]]  # no cycle
-        label[label == label[x[k]]] = label[y[k]]
-    assert all(label[x] == label[y])
+def test_sketch_tells_similarity():
     words = [f"w{i}" for i in range(3000)]
     one, two = (np.frombuffer(near_dup.sketch(near_dup.shingle_set(" ".join(t), 1)), np.uint8) for t in (words[:2700], words[300:]))
     assert abs(((one == two) & (one != 0)).sum() / ((one | two) != 0).sum() - 0.8) < 0.13
