@@ -6,21 +6,23 @@ differing symbols have a chunk with at most 2 errors, so the join enumerates, fo
 its 6 symbols: such a pair surely shares a key. At a Jaccard similarity of 0.8 a pair shares none of the 90 keys with a
 chance under one in a million.
 
-Equal sets are collapsed to classes first, by a 128-bit hash of the set; the nodes below are classes. Links between nodes
-that share a key are found in three rounds, each of which needs fewer comparisons since the last has joined most of them:
+Equal sets are collapsed to classes first, by a 128-bit hash of the set; the nodes below are classes. All nodes that share a
+key, directly or through others, are one family, whatever their sizes and distances.
 
 1. Stars. Within a key each node has the least node of its own and of the next band of sizes as hubs. A node is confirmed
-   against the one hub that it shares the most keys with: a comparison a node, however large its group of near copies is.
-2. Forests. Keys whose nodes still lie in several components are cut into units of two blocks of at most about BLOCK nodes.
-   A unit holds 256-byte sketches, no sets, and proposes a spanning forest of the pairs that look similar, likeliest first.
-3. The rest. The units of what is still apart propose every pair of different components that the sketches don't rule
-   out, so each pair that shares a key is then linked, connected or ruled out. This is exact whatever rounds 1 and 2 found.
-
-Every proposed pair is confirmed on full sets. A sketch has the least shingle hash of each of 256 ranges, cut to 8 bits; a
-pair is ruled out where its share of equal ranges is SLACK standard errors below the threshold, a chance under one in 10^8
-for a pair at the threshold. The pairs that round 3 confirms in vain are those of a similarity somewhat under the threshold.
-Components come from min-label propagation with pointer jumping, a written table each round. Nothing about documents reaches
-the driver but counts.
+   against the one hub that it shares the most keys with: one comparison a node, which joins nearly all of a group of near
+   copies however large it is.
+2. Units. Where a family then lies in several components, the nodes outside the largest meet each other and its nodes in
+   units of two blocks of at most about BLOCK nodes; a family of over SPARSE blocks in which few nodes share keys is cut into
+   its keys first, if that sends fewer rows. A pair of different components is ruled out by sizes or by a sketch (the least
+   hash of each of 256 ranges, cut to 8 bits: SLACK standard errors under the threshold, under one in 10^8 for a pair at it),
+   or is confirmed in the unit, likeliest first, until earlier links have joined it. Only links leave a unit, so the pairs
+   somewhat under the threshold, which are many where texts share most of their words, are never written.
+
+A set of over FULL shingles comes to a unit as its FULL least hashes, an unbiased sample; pairs that the sample doesn't rule
+out by SLACK standard errors leave the unit to be confirmed on full sets, and count as joined there only if it is as far over
+the threshold. Components come from least-neighbour labels with pointer jumping on ever fewer edges, a written table each
+round. Nothing about documents reaches the driver but counts.
 
 Defined results: null and empty texts and texts of white space alone have an empty set and are linked with nothing; a row
 without an id keeps a null component and is kept; each row's text counts on its own, also where rows repeat an id, in
@@ -55,7 +57,7 @@ _SIGNATURE = [f"s{k}" for k in range(_LONGS)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20240607).integers(1, 2**63, size=(2, SYMBOLS), dtype=np.uint64)
 _XOR, _FACTOR = _SEEDS[0], _SEEDS[1] * np.uint64(2) + np.uint64(1)
-BLOCK, SKETCH, SLACK = 1024, 256, 6
+BLOCK, SPARSE, FULL, SKETCH, SLACK = 1024, 16, 2048, 256, 6
 _WORDS_KEPT, _BLOCK = 200_000, 1 << 15
 
 
@@ -156,16 +158,29 @@ def _alike(a: str, b: str, percent: int) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (the least node reachable) for each node of the edges a, b."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    """node, component (the least node reachable) for each node of the edges a, b.
+
+    Each round points every node to its least neighbour, follows the pointers to their ends, and keeps the edges between
+    different ends, of which there are soon few.
+    """
+    left, labels = cut(edges.select("a", "b").distinct(), "edges"), None
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        low = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "m").alias("low"), F.col("component").alias("before"))
-        at = labels.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        after = cut(low.join(at, F.col("low") == F.col("at")).select("node", F.least("low", "further").alias("component"), "before"), "labels")
-        labels = after.select("node", "component")
-        if after.where("component <> before").isEmpty():
+        both = left.union(left.select("b", "a"))
+        up = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up")), "pointers")
+        while True:
+            end = up.select(F.col("node").alias("at"), F.col("up").alias("further"))
+            after = cut(up.join(end, up["up"] == end["at"]).select("node", F.col("further").alias("up"), (F.col("further") != up["up"]).alias("moved")), "pointers")
+            up = after.select("node", "up")
+            if after.where("moved").isEmpty():
+                break
+        if labels is None:
+            labels = up.select("node", F.col("up").alias("component"))
+        else:
+            end = up.select(F.col("node").alias("component"), "up")
+            labels = cut(labels.join(end, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+        x, y = up.select(F.col("node").alias("a"), F.col("up").alias("x")), up.select(F.col("node").alias("b"), F.col("up").alias("y"))
+        left = cut(left.join(x, "a").join(y, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        if left.isEmpty():
             return labels
 
 
@@ -187,18 +202,18 @@ def _sets(width: int):
                 digests = [xxhash.xxh3_128_intdigest(x.tobytes()) for x in found]
                 ends = np.cumsum([0, *map(len, found)])
                 values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
-                columns = [part.column(0), pa.array([(d >> 64) - 2**63 for d in digests], pa.int64()), pa.array([(d & (2**64 - 1)) - 2**63 for d in digests], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, values, pa.array([sketch(x) if len(x) else b"" for x in found], pa.binary())], names=["id", "hi", "lo", "shingles", "sketch"])
+                columns = [part.column(0), pa.array([(d >> 64) - 2**63 for d in digests], pa.int64()), pa.array([(d & (2**64 - 1)) - 2**63 for d in digests], pa.int64()), values]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "hi", "lo", "shingles"])
 
     return run
 
 
 def _full_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """node, shingles and sketch of the nodes wanted (node, id, hi, lo), from a document of each class."""
+    """node and shingles of the nodes wanted (node, id, hi, lo), from a document of each class."""
     wanted = bounded(wanted, "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.select("id"), "id", "left_semi")
-    found = by_batch(texts, _sets(width), "id long, hi long, lo long, shingles array<long>, sketch binary")
-    return cut(found.join(wanted, ["id", "hi", "lo"]).select("node", "shingles", "sketch").dropDuplicates(["node"]), "sets")
+    found = by_batch(texts, _sets(width), "id long, hi long, lo long, shingles array<long>")
+    return cut(found.join(wanted, ["id", "hi", "lo"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -208,97 +223,154 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(shared * 100 >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def _forest(likely: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """The pairs of a spanning forest over n components: pair k joins x[k] and y[k]; those of the highest likely come first."""
-    left, kept, label = np.argsort(-likely, kind="stable"), [], np.arange(n)
-    while len(left):
-        parent: dict[int, int] = {}
-
-        def find(c: int) -> int:
-            while (up := parent.get(c, c)) != c:
-                c = up
-            return c
-
-        for k in left[: 4 * n].tolist():
-            a, b = find(int(label[x[k]])), find(int(label[y[k]]))
-            if a != b:
-                parent[a] = b
-                kept.append(k)
-        label = np.array([find(int(c)) for c in label])
-        left = left[4 * n :]
-        left = left[label[x[left]] != label[y[left]]]
-    return np.array(kept, np.int64)
-
-
-def _proposed(percent: int, forest: bool):
-    """Pairs a, b of different components in a unit: its left nodes with each other, or with its right nodes if it has any."""
-
-    def run(unit: pa.RecordBatch) -> pa.RecordBatch | None:
-        is_left = unit.column(3).to_numpy(zero_copy_only=False)
-        node, comp, n = (unit.column(k).to_numpy(zero_copy_only=False) for k in (4, 5, 6))
-        marks = np.frombuffer(b"".join(unit.column(7).to_pylist()), np.uint8).reshape(-1, SKETCH)
-        _, comp = np.unique(comp, return_inverse=True)
+class _Unit:
+    """The nodes of a unit with their sets, or what is known of them, and the components as its links join them."""
+
+    def __init__(self, unit: pa.RecordBatch, percent: int, full: int) -> None:
+        self.percent, self.p = percent, percent / 100
+        self.node, comp, self.n = (unit.column(k).to_numpy(zero_copy_only=False) for k in (4, 5, 6))
+        _, self.label = np.unique(comp, return_inverse=True)
+        lists = unit.column(7)
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        self.sets = [hashes[a:b] for a, b in zip(ends, ends[1:])]
+        self.whole = self.n <= full
+        blank = bytes(SKETCH)
+        self.marks = np.frombuffer(b"".join(sketch(x) if w else blank for x, w in zip(self.sets, self.whole)), np.uint8).reshape(-1, SKETCH)
+
+    def least(self, n: np.ndarray | int) -> np.ndarray | float:
+        return SLACK * np.sqrt(self.p * (1 - self.p) / n)
+
+    def shares(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Estimated similarities; -1 for pairs ruled out, 1 where a set isn't whole."""
+        out = np.empty(len(a))
+        for k in range(0, len(a), 1 << 16):
+            x, y = self.marks[a[k : k + (1 << 16)]], self.marks[b[k : k + (1 << 16)]]
+            either = np.maximum(np.count_nonzero(x | y, axis=1), 1)
+            share = np.count_nonzero((x == y) & (x != 0), axis=1) / either
+            out[k : k + (1 << 16)] = np.where(share >= self.p - self.least(either), share, -1)
+        out[~(self.whole[a] & self.whole[b])] = 1
+        return out
+
+    def join(self, a: int, b: int) -> None:
+        self.label[self.label == self.label[b]] = self.label[a]
+
+    def linked(self, a: int, some: np.ndarray) -> np.ndarray:
+        """Which of the whole sets are similar to that of a."""
+        own, sizes = self.sets[a], self.n[some]
+        all_of = np.concatenate([self.sets[b] for b in some])
+        hit = own[np.minimum(np.searchsorted(own, all_of), len(own) - 1)] == all_of
+        shared = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+        return shared * 100 >= self.percent * (len(own) + sizes - shared)
+
+    def sampled(self, a: int, b: int) -> float:
+        """How far over the threshold the samples of two sets are, in standard errors."""
+        x, y = self.sets[a], self.sets[b]
+        upto = min((s[-1] for s, w in ((x, self.whole[a]), (y, self.whole[b])) if not w))
+        x, y = (s[: np.searchsorted(s, upto, side="right")] for s in (x, y))
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return (shared / (either := len(x) + len(y) - shared) - self.p) / (self.least(either) / SLACK)
+
+
+def _linked(percent: int, full: int):
+    """Links a, b of a unit between different components, and pairs that are yet to be confirmed (sure is false).
+
+    A unit's left nodes meet each other, or its right nodes if it has any. Likely pairs come first, one by one, and join their
+    components; then each node meets all that are left for it at once.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        unit, is_left = _Unit(batch, percent, full), batch.column(3).to_numpy(zero_copy_only=False)
         rows, columns = np.flatnonzero(is_left), np.flatnonzero(~is_left)
         alone = not len(columns)
-        columns = rows if alone else columns
+        columns, n = rows if alone else columns, unit.n
         fits = np.minimum.outer(n[rows], n[columns]) * 100 >= np.maximum.outer(n[rows], n[columns]) * percent
-        fits &= comp[rows][:, None] != comp[columns][None, :]
+        fits &= unit.label[rows][:, None] != unit.label[columns][None, :]
         if alone:
             fits &= np.less.outer(rows, columns)
         i, j = np.nonzero(fits)
-        out = []
-        for k in range(0, len(i), 1 << 16):
-            a, b = rows[i[k : k + (1 << 16)]], columns[j[k : k + (1 << 16)]]
-            ma, mb = marks[a], marks[b]
-            either = ((ma | mb) != 0).sum(axis=1)
-            equal = ((ma == mb) & (ma != 0)).sum(axis=1)
-            share, p = equal / either, percent / 100
-            ok = share >= (p if forest else p - SLACK * np.sqrt(p * (1 - p) / either))
-            out.append((a[ok], b[ok], share[ok]))
-        a, b, share = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
-        if forest and len(a):
-            kept = _forest(share, comp[a], comp[b], int(comp.max()) + 1)
-            a, b = a[kept], b[kept]
-        if not len(a):
+        a, b = rows[i], columns[j]
+        share = unit.shares(a, b)
+        whole, out = unit.whole[a] & unit.whole[b], []
+
+        def meet(x: int, y: int) -> None:
+            if not (unit.whole[x] and unit.whole[y]):
+                over = unit.sampled(x, y)
+                if over > -SLACK:
+                    out.append((x, y, False))
+                if over > SLACK:
+                    unit.join(x, y)
+            elif unit.linked(x, np.array([y]))[0]:
+                out.append((x, y, True))
+                unit.join(x, y)
+
+        likely = np.flatnonzero((share >= (1 + percent / 100) / 2) | ~whole)
+        likely = likely[np.argsort(-share[likely], kind="stable")]
+        while len(likely):
+            for k in likely[:1024].tolist():
+                if unit.label[a[k]] != unit.label[b[k]]:
+                    meet(int(a[k]), int(b[k]))
+            likely = likely[1024:]
+            likely = likely[unit.label[a[likely]] != unit.label[b[likely]]]
+        rest = np.flatnonzero((share >= 0) & whole)
+        a, b = a[rest], b[rest]
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else []
+        for s, e in zip(starts, [*starts[1:], len(a)]):
+            x, some = int(a[s]), b[s:e]
+            some = some[unit.label[some] != unit.label[x]]
+            for k in range(0, len(some), 512):
+                for y in some[k : k + 512][unit.linked(x, some[k : k + 512])].tolist():
+                    if unit.label[x] != unit.label[y]:
+                        out.append((x, y, True))
+                        unit.join(x, y)
+        if not out:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
+        x, y, sure = (np.array(v) for v in zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(unit.node[x]), pa.array(unit.node[y]), pa.array(sure)], names=["a", "b", "sure"])
 
     return run
 
 
-def _units(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """key, x, y, left, node, component: the nodes of the keys that hold several components, in the units where they meet.
+def _shape(members: DataFrame) -> DataFrame:
+    """family, main (its largest component), few and many (the others' nodes and its own, in blocks), sent (rows of its
+    units), nodes: of the families that hold several components."""
+    each = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m"))
+    shape = each.groupBy("family").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("nodes"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    shape = shape.select("family", "nodes", F.col("top.component").alias("main"), blocks(F.col("nodes") - F.col("top.m")).alias("few"), blocks(F.col("top.m")).alias("many"), F.col("top.m").alias("m"))
+    return shape.withColumn("sent", (F.col("nodes") - F.col("m")) * (F.col("few") + F.col("many")) + F.col("m") * F.col("few"))
 
-    Keys with the same nodes are one. A key of up to BLOCK nodes is one unit. In a larger one the largest component is one
-    side; the others' nodes, in blocks, meet each other and its blocks, but its own nodes never meet.
+
+def _units(members: DataFrame, shared: DataFrame) -> DataFrame:
+    """family, x, y, left, node, component: members (family, node, component) in the units where they meet.
+
+    The nodes of a family's largest component never meet, so a family of near copies that are linked already costs nothing.
     """
-    placed = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    placed = cut(placed, "placed")
-    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("print")).where("low < high")
-    apart = bounded(apart.groupBy("print", "m").agg(F.min("key").alias("key")).select("key", "m"), "apart")
-    members = cut(placed.join(apart, "key"), "members")
-    small = members.where(F.col("m") <= BLOCK).select("key", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(True).alias("left"), "node", "component")
-
-    large = members.where(F.col("m") > BLOCK)
-    each = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    shape = each.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
-    shape = bounded(shape.select("key", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("many")), "shape")
+    shape = bounded(_shape(members), "shape")
+    placed = members.join(shape, "family")
+    large = shape.where(F.col("nodes") > SPARSE * BLOCK)
+    if not large.isEmpty():
+        # Keys with the same nodes are one. A key stands in for its family under its own number.
+        by_key = cut(shared.join(placed.join(large.select("family"), "family", "left_semi").select("family", "node", "component", "sent"), "node"), "by-key")
+        prints = by_key.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("print")).where("low < high")
+        by_key = cut(by_key.join(prints.groupBy("print", "m").agg(F.min("key").alias("key")).select("key"), "key"), "by-key")
+        keyed = by_key.select(F.col("key").alias("family"), "node", "component")
+        sizes = _shape(keyed).select(F.col("family").alias("key"), F.col("sent").alias("of_key"))
+        sparse = by_key.select("key", "family", F.col("sent")).distinct().join(sizes, "key").groupBy("family").agg(F.sum("of_key").alias("keys"), F.max("sent").alias("sent")).where("keys < sent")
+        sparse = bounded(sparse.select("family"), "sparse")
+        chosen = by_key.join(sparse, "family", "left_semi").select(F.col("key").alias("family"), "node", "component")
+        chosen = chosen.join(bounded(_shape(chosen), "shape-of-keys"), "family")
+        placed = placed.join(sparse, "family", "left_anti").unionByName(chosen)
     is_main = F.col("component") == F.col("main")
-    at = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("many")).otherwise(F.col("few"))).cast("int")
+    placed = placed.withColumn("at", F.pmod(F.xxhash64("node"), F.when(is_main, F.col("many")).otherwise(F.col("few"))).cast("int"))
     # y below 0 stands for block -1 - y of the largest component
     to_main = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda k: F.struct(F.col("at").alias("x"), (-1 - k).alias("y"), F.lit(True).alias("left")))
     to_few = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda k: F.struct(F.least("at", k).alias("x"), F.greatest("at", k).alias("y"), (F.col("at") <= k).alias("left")))
     of_main = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda k: F.struct(k.alias("x"), (-1 - F.col("at")).alias("y"), F.lit(False).alias("left")))
     goes = F.when(is_main, of_main).otherwise(F.concat(to_main, to_few))
-    blocks = large.join(shape, "key").withColumn("at", at).withColumn("u", F.explode(goes)).select("key", "u.x", "u.y", "u.left", "node", "component")
-    return small.union(blocks)
-
-
-def _more(shared: DataFrame, found: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Confirmed links between different components of found, of nodes that share a key."""
-    units = _units(shared, found).join(sets.select("node", F.size("shingles").alias("n"), "sketch"), "node")
-    pairs = by_group(units.select("key", "x", "y", "left", "node", "component", "n", "sketch"), 3, _proposed(percent, forest), "a long, b long")
-    return cut(_confirmed(bounded(pairs.distinct(), "proposed"), sets, percent), "links")
+    return placed.withColumn("u", F.explode(goes)).select("family", "u.x", "u.y", "u.left", "node", "component")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -313,7 +385,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         keys = by_batch(able.select("node", *_SIGNATURE), _keyed, "key long, node long")
         several = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
         band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-        shared = cut(keys.join(several.select("key"), "key").join(able.select("node", band.alias("band")), "node"), "shared-keys")
+        shared = cut(keys.join(several.select("key", "low"), "key").join(able.select("node", band.alias("band")), "node"), "shared-keys")
 
         hubs = shared.groupBy("key", "band").agg(F.min("node").alias("hub"))
         both = bounded(hubs.union(hubs.select("key", F.col("band") - 1, "hub")), "hubs")
@@ -322,16 +394,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         side = able.select("node", "n", *_SIGNATURE)
         tried = cut(partner, "stars").join(side.alias("x"), F.col("x.node") == F.col("a")).join(side.alias("y"), F.col("y.node") == F.col("b"))
         tried = tried.where(_alike("x", "y", percent)).select("a", "b")
+        family = components(shared.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")))
 
-        wanted = classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "id", "hi", "lo")
-        sets = _full_sets(wanted, docs, id_col, text_col, width)
+        sets = _full_sets(classes.join(family.select("node"), "node", "left_semi").select("node", "id", "hi", "lo"), docs, id_col, text_col, width)
         links = cut(_confirmed(tried, sets, percent), "links")
         found = components(links)
-        for forest in (True, False):
-            more = _more(shared.select("key", "node"), found, sets, percent, forest)
-            if not more.isEmpty():
-                links = links.union(more)
-                found = components(links)
+        members = cut(family.withColumnRenamed("component", "family").join(found, "node", "left").select("family", "node", F.coalesce("component", "node").alias("component")), "members")
+        known = sets.select("node", F.size("shingles").cast("long").alias("n"), F.slice("shingles", 1, FULL).alias("low"))
+        units = _units(members, shared.select("key", "node")).join(known, "node")
+        more = cut(by_group(units.select("family", "x", "y", "left", "node", "component", "n", "low"), 3, _linked(percent, FULL), "a long, b long, sure boolean"), "more-links")
+        if not more.isEmpty():
+            unsure = more.where("NOT sure").select("a", "b").distinct()
+            found = components(links.union(more.where("sure").select("a", "b")).union(_confirmed(unsure, sets, percent)))
 
         linked = found.join(classes.select("node", "hi", "lo", "id"), "node")
         named = linked.groupBy("component").agg(F.min("id").alias("least"))
