@@ -62,11 +62,60 @@ def test_rename_order_of_checks(spark, tree):
         [(1, 1, "a", 3, "x"), (2, 1, "g", 2, "b"), (3, 1, "a", 1, "g"), (4, 3, "f", 1, "g"), (5, 1, "g", 1, "g"), (6, 1, "no", 1, "y"), (7, 1, "", 1, "y"), (8, 1, "g", 4, "y"), (9, 1, "a", 2, "b")],
         "request_id long, old_parent long, old_name string, new_parent long, new_name string",
     )
-    result, after = N.rename(asked, d, n)
+    result, after, _, _ = N.rename(asked, d, n, 9)
     assert status(result) == {1: 22, 2: 21, 3: 20, 4: 0, 5: 0, 6: 2, 7: 22, 8: 20, 9: 22}
     assert {(r.parent, r.name): r.child for r in after.collect()}[1, "g"] == 4
 
 
+def test_renames_of_one_batch(spark):
+    """One source twice, one target twice, directories into each other, a chain, and what is overwritten."""
+    d = spark.createDataFrame([(1, "a", 2), (1, "b", 3), (1, "f", 4), (1, "g", 5), (1, "h", 6), (1, "e", 7), (2, "k", 5), (1, "gone", 99)], DIRENTS)
+    n = nodes(spark, [(1, DIR, 5), (2, DIR, 2), (3, DIR, 2), (4, FILE, 1), (5, FILE, 2), (6, FILE, 1), (7, DIR, 2)])
+    shape = "request_id long, old_parent long, old_name string, new_parent long, new_name string"
+
+    def run(*rows):
+        result, after, n2, freed = N.rename(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], shape), d, n, 9)
+        return status(result), {(r.parent, r.name): r.child for r in after.collect()}, {r.inode: (r.nlink, r.ctime_ns) for r in n2.collect()}, {r.inode for r in freed.collect()}
+
+    s, e, _, _ = run((1, "f", 1, "x"), (1, "f", 1, "y"))
+    assert s == {0: 0, 1: 2} and e[1, "x"] == 4 and (1, "y") not in e
+    s, e, _, _ = run((1, "a", 3, "m"), (1, "b", 2, "n"))
+    assert s == {0: 0, 1: 11} and e[3, "m"] == 2 and e[1, "b"] == 3
+    s, e, _, _ = run((1, "f", 1, "z"), (1, "h", 1, "z"))
+    assert s == {0: 0, 1: 11} and e[1, "z"] == 4 and e[1, "h"] == 6
+    s, e, left, freed = run((1, "f", 1, "h"), (1, "h", 1, "q"))
+    assert s == {0: 0, 1: 11} and e[1, "h"] == 4 and freed == {6} and 6 not in left
+    s, e, left, freed = run((1, "f", 1, "g"), (1, "a", 1, "gone"), (1, "b", 1, "e"))
+    assert s == {0: 0, 1: 5, 2: 0} and freed == set() and left[5] == (1, 9) and left[1] == (4, 9) and 7 not in left and e[1, "e"] == 3
+    s, e, left, freed = run((1, "b", 2, "e"), (1, "f", 7, "in"), (1, "a", 1, "e"))
+    assert s == {0: 0, 1: 0, 2: 11} and left[1] == (4, 9) and left[2] == (3, 9)
+    s, *_ = run((1, "gone", 1, "x"), (1, "..", 1, "x"), (1, "e", 1, "e"))
+    assert s == {0: 5, 1: 22, 2: 0}
+
+
+def test_dangling_entries_and_names(spark, tree):
+    asked = spark.createDataFrame([(1, 1, "gone"), (2, 1, ".."), (3, 3, "f"), (4, 3, "f"), (5, 2, "b"), (6, 2, "b")], "request_id long, parent long, name string")
+    assert status(N.unlink(asked, *tree, 9)[0]) == {1: 5, 2: 22, 3: 0, 4: 2, 5: 21, 6: 21}
+    assert status(N.rmdir(asked, *tree, 9)[0]) == {1: 5, 2: 22, 3: 20, 4: 20, 5: 39, 6: 39}
+
+
+def test_mover_loop():
+    waits, left = [], iter([False, True, True, True, False, None])
+    failing = {"now": False}
+
+    def stop(delay):
+        waits.append(delay)
+        failing["now"] = next(left)
+        return failing["now"] is None
+
+    def once():
+        if failing["now"]:
+            raise ValueError("a pass")
+
+    assert M.loop(once, 30, 100, stop) == {"passes": 5, "failed": 3, "consecutive_errors": 0}
+    assert waits == [30, 30, 60, 100, 100, 30]
+
+
 def test_evict_and_gc(spark):
     stripes = spark.createDataFrame([(1, k, 10, 0, 10) for k in range(4)], "inode long, stripe_id long, hot_bytes long, cold_bytes long, live_bytes long")
     assert M.evict_candidates(stripes, 20, 10, 9).count() == 3
@@ -91,19 +140,27 @@ def test_segments(spark, tmp_path):
     placed = G.rotate(rows, 100)
     assert [r.segment_id for r in placed.sort("seq").collect()] == [1, 2, 3]
     framed = G.frame(rows.drop("length").join(G.rotate(rows, 1000), ["tier", "seq"]))
-    whole = G.contents(framed)
-    assert len(whole.first().content) == 3 * 124
-    for junk, cut, n in ((b"q" * 16, 0, 3), (b"", 1, 2), (b"", 130, 1)):
-        torn = whole.select("segment_id", F.expr(f"substring(content, 1, length(content) - {cut})").alias("c")).select("segment_id", F.concat("c", F.lit(bytearray(junk))).alias("content"))
-        assert [r.seq for r in G.scan(torn).sort("seq").collect()] == [1, 2, 3][:n]
-        assert G.good_sizes(torn).first().good_size == 124 * n
-    bad = whole.select("segment_id", F.expr("overlay(content PLACING cast('Z' AS BINARY) FROM 200)").alias("content"))
-    assert G.scan(bad).count() == 1
+    whole = G.chunks(framed, 100).drop("tier")
+    data = b"".join(bytes(r.data) for r in whole.sort("chunk").collect())
+    assert len(data) == 3 * 124 and whole.count() == 4
+
+    def chunks(content, size=100):
+        return spark.createDataFrame([(1, k // size, bytearray(content[k : k + size])) for k in range(0, len(content), size)], "segment_id long, chunk long, data binary")
+
+    for torn, n in ((data + b"q" * 16, 3), (data[:-1], 2), (data[:-130], 1)):
+        assert [r.seq for r in G.scan(chunks(torn)).sort("seq").collect()] == [1, 2, 3][:n]
+        assert G.good_sizes(chunks(torn)).first().good_size == 124 * n
+        assert b"".join(bytes(r.data) for r in G.repaired(chunks(torn), 100).sort("chunk").collect()) == data[: 124 * n]
+    assert G.scan(chunks(data[:199] + b"Z" + data[200:])).count() == 1
+    assert G.scan(whole.where("chunk <> 1")).count() == 0
     G.write_files(whole, str(tmp_path))
     (tmp_path / "x.seg").write_bytes(b"")
     (tmp_path / "99999999999.seg").write_bytes(b"")
     assert [tuple(r) for r in G.discover(spark, str(tmp_path)).collect()] == [(1, 372, True)]
-    assert G.scan(G.load(spark, str(tmp_path))).count() == 3
+    assert G.scan(G.load(spark, str(tmp_path), 50)).count() == 3
+    G.write_files(whole.withColumn("segment_id", F.lit(2)), str(tmp_path))
+    assert [r.segment_id for r in G.stray_files(spark, str(tmp_path), whole.where("segment_id = 2")).collect()] == [1]
+    assert G.remove_files(spark, str(tmp_path), whole.select("segment_id")) == 1 and not (tmp_path / "0000000001.seg").exists()
     assert not G.import_table(spark, str(tmp_path / "none"), str(tmp_path / "out"), ["seq"])
 
 

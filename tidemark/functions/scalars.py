@@ -133,3 +133,9 @@ def number(value: Column) -> Column:
     shown = F.when((exponent < -4) | (exponent >= 6), science).otherwise(plain)
     special = F.when(F.isnan(value), "NaN").when(value == float("inf"), "+Inf").when(value == float("-inf"), "-Inf").when(value == 0, "0")
     return F.coalesce(special, F.concat(F.when(value < 0, "-").otherwise(""), shown))
+
+
+def same_bytes(a: Column, b: Column) -> Column:
+    """Whether two byte slices are equal; two nulls are, like two empty slices."""
+    empty = F.lit(bytearray())
+    return F.coalesce(a.cast("binary"), empty) == F.coalesce(b.cast("binary"), empty)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.overlay import KEY, canonical_view
@@ -81,14 +84,58 @@ def run_once(fragments: DataFrame, segments: DataFrame, hot_max: int, base_seq:
     return after, gc_segments(segments, after.where("NOT moved"))
 
 
+def next_seq(fragments: DataFrame) -> int:
+    """The seq after the highest there is; 1 for an empty log."""
+    return fragments.agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]
+
+
+def statfs(segments: DataFrame, hot_max: int, block: int = 4096) -> DataFrame:
+    """block_size, blocks, blocks_free, blocks_avail of the hot tier: hot_max stands for the disk, which a cluster doesn't have."""
+    used = segments.where(F.col("tier") == TIER_HOT).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("used"))
+    free = F.greatest(F.lit(hot_max) - F.col("used"), F.lit(0))
+    return used.select(F.lit(block).alias("block_size"), F.lit(hot_max // block).cast("long").alias("blocks"), *((F.floor(free / block)).cast("long").alias(n) for n in ("blocks_free", "blocks_avail")))
+
+
 def backoff(base: Column, most: Column, errors: Column) -> Column:
     """Seconds to wait after `errors` failing passes in a row."""
     doubled = base * F.pow(F.lit(2.0), F.least(errors, F.lit(40)))
     return F.when(errors <= 0, base).otherwise(F.least(doubled, most.cast("double"))).cast("long")
 
 
+def schedule(ticks: DataFrame, base: int, most: int) -> DataFrame:
+    """mover, tick, consecutive_errors and delay: from a log of passes (mover, tick, failed), the failing passes in a row up to
+    each, and the seconds until the next; a clean pass starts anew."""
+    order = Window.partitionBy("mover").orderBy("tick")
+    streak = ticks.withColumn("streak", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(order))
+    n = F.sum(F.when(F.col("failed"), 1).otherwise(0)).over(Window.partitionBy("mover", "streak").orderBy("tick"))
+    counted = streak.withColumn("consecutive_errors", n)
+    return counted.select("mover", "tick", "consecutive_errors", backoff(F.lit(base), F.lit(most), F.col("consecutive_errors")).alias("delay"))
+
+
+def loop(once: Callable[[], None], base: float, most: float, stop: Callable[[float], bool]) -> dict[str, int]:
+    """Run passes until stop(seconds to wait) is true: it waits and tells. Failing passes are waited for twice as long each
+    time, at most `most`; a clean one starts anew. Returns how the passes went."""
+    told, delay = {"passes": 0, "failed": 0, "consecutive_errors": 0}, base
+    while not stop(delay):
+        told["passes"] += 1
+        try:
+            once()
+        except Exception:
+            logging.getLogger(__name__).exception("pass failed")
+            told["failed"] += 1
+            told["consecutive_errors"] += 1
+            delay = min(base * 2.0 ** min(told["consecutive_errors"], 40), most)
+        else:
+            told["consecutive_errors"], delay = 0, base
+    return told
+
+
 def mover_summary(runs: DataFrame) -> DataFrame:
-    """Counters over a log of passes (evicts, gcs, moves_ok, moves_failed, bytes_moved, move_nanos, gc_nanos), and averages."""
+    """The ten counters over a log of passes (tick_s, failed, evicts, gcs, moves_ok, moves_failed, bytes_moved, move_nanos,
+    gc_nanos), and averages: sums, the failing passes in a row at its end, and when it last ran and last failed (0: never)."""
     names = ["evicts", "gcs", "moves_ok", "moves_failed", "bytes_moved", "move_nanos", "gc_nanos"]
-    sums = runs.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names))
-    return sums.select("*", F.expr("move_nanos / nullif(moves_ok, 0)").alias("move_avg_nanos"), F.expr("gc_nanos / nullif(gcs, 0)").alias("gc_avg_nanos"))
+    clean, at = F.max(F.when(~F.col("failed"), F.col("tick_s"))), F.col("tick_s")
+    sums = runs.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names), F.coalesce(F.max(at), F.lit(0)).alias("last_tick_s"), F.coalesce(F.max(F.when(F.col("failed"), at)), F.lit(0)).alias("last_error_s"), clean.alias("clean"))
+    tail = runs.select(at.alias("t"), "failed").crossJoin(F.broadcast(sums.select("clean"))).where("failed AND (clean IS NULL OR t > clean)").agg(F.count(F.lit(1)).alias("consecutive_errors"))
+    averages = [F.expr("move_nanos / nullif(moves_ok, 0)").alias("move_avg_nanos"), F.expr("gc_nanos / nullif(gcs, 0)").alias("gc_avg_nanos")]
+    return sums.crossJoin(F.broadcast(tail)).select(*names, "last_tick_s", "last_error_s", "consecutive_errors", *averages)  # a row each

@@ -1,7 +1,8 @@
 """The namespace: nodes and directory entries as tables, lookups as joins, and edits as pure table transforms.
 
 An edit takes a table of requests and returns a status (an errno, 0 if it applies) for each, with the tables after the ones
-that apply. Requests of one batch see the tables as they were before it; of several that claim one name, the first applies.
+that apply. Requests of one batch see the tables as they were before it; of several that claim one name, the first applies. A
+rename that depends on what an earlier one of its batch does gets EAGAIN and is to be asked again.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalars import is_dir, is_symlink, valid_name
 from tidemark.plans.ordered import row_numbers
-from tidemark.schemas import ERRNO, MAX_CLIMB, MODE_DIR, MODE_REGULAR, MODE_SYMLINK, PERM_MASK, ROOT_INODE, TYPE_MASK
+from tidemark.schemas import EAGAIN, ERRNO, MAX_CLIMB, MODE_DIR, MODE_REGULAR, MODE_SYMLINK, PERM_MASK, ROOT_INODE, TYPE_MASK
 from tidemark.session import settle
 
 
@@ -47,17 +48,15 @@ def walk_paths(paths: DataFrame, dirents: DataFrame, nodes: DataFrame) -> DataFr
         at, depth = stepped.where("child IS NOT NULL").select("path", "parts", F.col("child").alias("inode")), depth + 1
 
 
-def path_tree(dirents: DataFrame, max_depth: int = MAX_CLIMB) -> DataFrame:
+def path_tree(dirents: DataFrame) -> DataFrame:
     """inode, path and depth of everything below the root; a level at a time, each from the last one's table."""
     level = dirents.where(F.col("parent") == ROOT_INODE).select(F.col("child").alias("inode"), F.concat(F.lit("/"), "name").alias("path"), F.lit(1).alias("depth"))
-    out = level
-    for _ in range(max_depth):
-        d = dirents.select(F.col("parent").alias("inode"), "name", "child")
+    out, d = level, dirents.select(F.col("parent").alias("inode"), "name", "child")
+    while True:
         level = settle(level.join(d, "inode").select(F.col("child").alias("inode"), F.concat("path", F.lit("/"), "name").alias("path"), (F.col("depth") + 1).alias("depth")), "level")
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
 
 
 def readdir(dirents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -199,36 +198,72 @@ def _renumbered(nodes: DataFrame, deltas: DataFrame, now_ns: int) -> DataFrame:
     return joined.select(*(changed.get(c, F.col(c)).alias(c) for c in nodes.columns))
 
 
+def _named_entries(requests: DataFrame, dirents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Column]:
+    """Requests for an entry (request_id, parent, name) with its child and mode, and what speaks against any of them."""
+    joined = requests.join(dirents, ["parent", "name"], "left").join(nodes.select(F.col("inode").alias("child"), "mode"), "child", "left")
+    joined = joined.withColumn("turn", F.row_number().over(Window.partitionBy("parent", "name").orderBy("request_id")))
+    return joined, F.when(~valid_name(F.col("name")), ERRNO["EINVAL"]).when(F.col("child").isNull(), ERRNO["ENOENT"]).when(F.col("mode").isNull(), ERRNO["EIO"])
+
+
 def unlink(requests: DataFrame, dirents: DataFrame, nodes: DataFrame, now_ns: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Unlink (request_id, parent, name): status, dirents, nodes, and the inodes whose last name went (their bytes are free)."""
-    joined = requests.join(dirents, ["parent", "name"], "left").join(nodes.select(F.col("inode").alias("child"), "mode"), "child", "left")
-    turn = F.row_number().over(Window.partitionBy("parent", "name").orderBy("request_id"))
-    status = F.when(F.col("child").isNull() | (turn > 1), ERRNO["ENOENT"]).when(is_dir(F.col("mode")), ERRNO["EISDIR"]).otherwise(0)
-    judged = joined.withColumn("status", status)
+    joined, status = _named_entries(requests, dirents, nodes)
+    status = status.when(is_dir(F.col("mode")), ERRNO["EISDIR"]).when(F.col("turn") > 1, ERRNO["ENOENT"]).otherwise(0)
+    judged = settle(joined.withColumn("status", status), "judged")
     done = judged.where("status = 0")
-    after = _renumbered(nodes, done.groupBy(F.col("child").alias("inode")).agg((-F.count(F.lit(1))).alias("delta")), now_ns)
-    gone = after.where((F.col("nlink") <= 0) & ~is_dir(F.col("mode"))).select("inode")
-    left = dirents.join(done.select("parent", "name"), ["parent", "name"], "left_anti")
-    return judged.select("request_id", "status"), left, after.join(gone, "inode", "left_anti"), gone
+    left, gone = _dropped(nodes, done.select(F.col("child").alias("inode")), now_ns)
+    return judged.select("request_id", "status"), dirents.join(done.select("parent", "name"), ["parent", "name"], "left_anti"), left, gone
+
+
+def _dropped(nodes: DataFrame, names: DataFrame, now_ns: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes after each of names (inode, a row a name) has lost a link, and the files among them that have none left."""
+    lost = settle(names.groupBy("inode").agg((-F.count(F.lit(1))).alias("delta")), "lost")
+    after = _renumbered(nodes, lost, now_ns)
+    gone = settle(after.join(lost.select("inode"), "inode", "left_semi").where((F.col("nlink") <= 0) & ~is_dir(F.col("mode"))).select("inode"), "freed")
+    return after.join(gone, "inode", "left_anti"), gone
 
 
 def rmdir(requests: DataFrame, dirents: DataFrame, nodes: DataFrame, now_ns: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Remove empty directories (request_id, parent, name)."""
-    joined = requests.join(dirents, ["parent", "name"], "left").join(nodes.select(F.col("inode").alias("child"), "mode"), "child", "left")
+    joined, status = _named_entries(requests, dirents, nodes)
     full = dirents.select(F.col("parent").alias("child"), F.lit(True).alias("full")).distinct()
-    turn = F.row_number().over(Window.partitionBy("parent", "name").orderBy("request_id"))
-    status = F.when(F.col("child").isNull() | (turn > 1), ERRNO["ENOENT"]).when(~is_dir(F.col("mode")), ERRNO["ENOTDIR"]).when(F.col("full").isNotNull(), ERRNO["ENOTEMPTY"]).otherwise(0)
-    judged = joined.join(full, "child", "left").withColumn("status", status)
+    status = status.when(~is_dir(F.col("mode")), ERRNO["ENOTDIR"]).when(F.col("full").isNotNull(), ERRNO["ENOTEMPTY"]).when(F.col("turn") > 1, ERRNO["ENOENT"]).otherwise(0)
+    judged = settle(joined.join(full, "child", "left").withColumn("status", status), "judged")
     done = judged.where("status = 0")
     after = _renumbered(nodes, done.groupBy(F.col("parent").alias("inode")).agg((-F.count(F.lit(1))).alias("delta")), now_ns)
     return judged.select("request_id", "status"), dirents.join(done.select("parent", "name"), ["parent", "name"], "left_anti"), after.join(done.select(F.col("child").alias("inode")), "inode", "left_anti")
 
 
-def rename(requests: DataFrame, dirents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Renames (request_id, old_parent, old_name, new_parent, new_name): status, and dirents after those that apply.
+def _first_claims(moves: DataFrame, dirents: DataFrame) -> DataFrame:
+    """moves (which nothing speaks against by itself) with the status that the others of the batch leave them.
+
+    Each needs its two entries, its source and its target, to itself: the least request that claims an entry has it. A source
+    that is taken is gone (ENOENT). A directory can't be overwritten while the batch moves something into it, nor can one go
+    below a directory that an earlier request moves: those are to be asked again (EAGAIN), as are targets that are taken.
+    """
+    claims = moves.select("request_id", F.col("old_parent").alias("parent"), F.col("old_name").alias("name")).union(moves.select("request_id", "new_parent", "new_name"))
+    first = settle(claims.groupBy("parent", "name").agg(F.min("request_id").alias("first")), "claims")
+    old, new = (first.select(F.col("parent").alias(f"{x}_parent"), F.col("name").alias(f"{x}_name"), F.col("first").alias(f"{x}_first")) for x in ("old", "new"))
+    into = moves.select(F.col("new_parent").alias("dst"), F.lit(True).alias("entered")).distinct()
+    up = ancestors(moves.where("src_dir").select(F.col("new_parent").alias("inode")).distinct(), dirents).select("inode", "ancestor")
+    up = up.union(moves.where("src_dir").select(F.col("new_parent").alias("inode"), F.col("new_parent").alias("ancestor"))).distinct()
+    moved = moves.where("src_dir").groupBy(F.col("src").alias("ancestor")).agg(F.min("request_id").alias("above"))
+    above = settle(up.join(moved, "ancestor").groupBy(F.col("inode").alias("new_parent")).agg(F.min("above").alias("above")), "above")
+    joined = moves.join(old, ["old_parent", "old_name"]).join(new, ["new_parent", "new_name"]).join(into, "dst", "left").join(above, "new_parent", "left")
+    same = moves.groupBy("old_parent", "old_name").agg(F.min("request_id").alias("first_of_source"))
+    joined = joined.join(same, ["old_parent", "old_name"])
+    status = F.when(F.col("first_of_source") < F.col("request_id"), ERRNO["ENOENT"])
+    later = (F.col("old_first") < F.col("request_id")) | (F.col("new_first") < F.col("request_id")) | (F.col("dst_dir") & F.col("entered").isNotNull()) | (F.col("src_dir") & (F.col("above") < F.col("request_id")))
+    return joined.withColumn("status", status.when(F.coalesce(later, F.lit(False)), EAGAIN).otherwise(0)).select(*moves.columns)
+
+
+def rename(requests: DataFrame, dirents: DataFrame, nodes: DataFrame, now_ns: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Renames (request_id, old_parent, old_name, new_parent, new_name): status, and after those that apply dirents, nodes, and
+    the overwritten inodes whose last name went (their bytes are free).
 
     Checks in order: names, source, target parent, cycles, then what stands at the target. A move onto itself is a success
-    that changes nothing. Link counts follow from the entries: see link_counts.
+    that changes nothing. What is overwritten loses a link, or its node if it is an empty directory; the parents of a
+    directory that goes change their link counts and ctimes.
     """
     kinds = settle(nodes.select("inode", is_dir(F.col("mode")).alias("d")), "kinds")
     as_ = lambda prefix: kinds.select(F.col("inode").alias(prefix), F.col("d").alias(f"{prefix}_dir"))
@@ -244,12 +279,21 @@ def rename(requests: DataFrame, dirents: DataFrame, nodes: DataFrame) -> tuple[D
     e = ERRNO
     status = F.when(~valid_name(F.col("old_name")) | ~valid_name(F.col("new_name")), e["EINVAL"]).when(F.col("src").isNull(), e["ENOENT"]).when(F.col("src_dir").isNull(), e["EIO"])
     status = status.when(F.col("new_parent_dir").isNull(), e["ENOENT"]).when(~F.col("new_parent_dir"), e["ENOTDIR"]).when(F.col("src_dir") & F.col("cycle").isNotNull(), e["EINVAL"])
-    status = status.when(F.col("dst") == F.col("src"), 0).when(F.col("src_dir") & ~F.col("dst_dir"), e["ENOTDIR"]).when(~F.col("src_dir") & F.col("dst_dir"), e["EISDIR"])
+    status = status.when(F.col("dst") == F.col("src"), 0).when(F.col("dst").isNotNull() & F.col("dst_dir").isNull(), e["EIO"])
+    status = status.when(F.col("src_dir") & ~F.col("dst_dir"), e["ENOTDIR"]).when(~F.col("src_dir") & F.col("dst_dir"), e["EISDIR"])
     status = status.when(F.col("dst_dir") & F.col("dst_full").isNotNull(), e["ENOTEMPTY"]).otherwise(0)
     judged = settle(joined.withColumn("status", status), "judged")
-    first = F.row_number().over(Window.partitionBy("new_parent", "new_name").orderBy("request_id"))
-    moves = judged.where("status = 0 AND NOT (dst IS NOT NULL AND dst = src)").withColumn("turn", first).where("turn = 1")
+    moving = (F.col("status") == 0) & ~F.coalesce(F.col("dst") == F.col("src"), F.lit(False))
+    claimed = settle(_first_claims(judged.where(moving), dirents), "claimed")
+    moves = claimed.where("status = 0")
+
     left = dirents.join(moves.select(F.col("old_parent").alias("parent"), F.col("old_name").alias("name")), ["parent", "name"], "left_anti")
     left = left.join(moves.select(F.col("new_parent").alias("parent"), F.col("new_name").alias("name")), ["parent", "name"], "left_anti")
     moved = moves.select(F.col("new_parent").alias("parent"), F.col("new_name").alias("name"), F.col("src").alias("child"))
-    return judged.select("request_id", "status"), left.unionByName(moved)
+
+    after, gone = _dropped(nodes, moves.where("NOT dst_dir").select(F.col("dst").alias("inode")), now_ns)
+    after = after.join(moves.where("dst_dir").select(F.col("dst").alias("inode")), "inode", "left_anti")
+    away = moves.where("src_dir AND old_parent <> new_parent")
+    deltas = away.select(F.col("old_parent").alias("inode"), F.lit(-1).alias("d")).union(away.select("new_parent", F.lit(1))).union(moves.where("dst_dir").select("new_parent", F.lit(-1)))
+    after = _renumbered(after, deltas.groupBy("inode").agg(F.sum("d").alias("delta")), now_ns)
+    return judged.where(~moving).select("request_id", "status").union(claimed.select("request_id", "status")), left.unionByName(moved), after, gone

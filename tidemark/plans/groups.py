@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from tidemark.session import ship
+
+
+def by_batch(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow, with this package at hand."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def starts_of(batch: pa.RecordBatch, n_keys: int) -> np.ndarray:

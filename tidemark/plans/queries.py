@@ -43,9 +43,14 @@ def canonical_view(spark, d):
     return O.canonical_view(V.fragments(spark, d))
 
 
-@query("SELECT * FROM canonical", canonical=True)
+ORACLE_HOT = V.CANONICAL.replace("fragments", "hot").strip()
+
+
+@query(", hot AS (SELECT 1 AS inode, 0 AS stripe_id, seq, logical_off, length, tier, segment_id, segment_offset FROM versions),\n" + ORACLE_HOT + " SELECT * FROM canonical")
 def canonical_sweep(spark, d):
-    return O.canonical_sweep(V.fragments(spark, d))
+    """Every event a version of one stripe of one file."""
+    hot = V.versions(V.table(spark, d, "events")).withColumns({"inode": F.lit(1).cast("long"), "stripe_id": F.lit(0).cast("long")})
+    return O.canonical_view(hot)
 
 
 _PLAN = """, clipped AS (
@@ -64,13 +69,21 @@ FROM m LEFT JOIN x ON x.read_id = m.read_id AND x.seq = m.seq"""
 
 @query(_PLAN.format(source="versions"))
 def read_plan(spark, d):
-    return O.read_plan(V.versions(V.table(spark, d, "events")), V.reads(spark, d))
+    return O.read_plan(V.versions(V.table(spark, d, "events")), V.reads(spark, d), V.STRIPE)
 
 
 @query(_PLAN.format(source="versions"))
 def merged_read(spark, d):
     v = V.versions(V.table(spark, d, "events"))
-    return O.merged_read(v.where("seq % 3 <> 0"), v.where("seq % 3 = 0"), V.reads(spark, d))
+    return O.merged_read(v.where("seq % 3 <> 0"), v.where("seq % 3 = 0"), V.reads(spark, d), stripe=V.STRIPE)
+
+
+@query(_PLAN.format(source="versions").replace("reads r ON", "reads r ON", 1).replace(", clipped AS (", ", sized AS (SELECT inode, max(logical_off + length) // 2 AS size FROM versions GROUP BY inode),\nbounded_reads AS (SELECT read_id, r.inode, lo, least(hi, size) AS hi FROM reads r JOIN sized USING (inode) WHERE lo < size), clipped AS (", 1).replace("JOIN reads r", "JOIN bounded_reads r").replace("FROM reads", "FROM bounded_reads").replace("FROM bounded_reads r JOIN sized", "FROM reads r JOIN sized"))
+def sized_read(spark, d):
+    """Reads of stored and pending fragments that end at the size, half of what was ever written."""
+    v = V.versions(V.table(spark, d, "events"))
+    sizes = v.groupBy("inode").agg(F.expr("max(logical_off + length) div 2").alias("size"))
+    return O.merged_read(v.where("seq % 3 <> 0"), v.where("seq % 3 = 0"), V.reads(spark, d), sizes, V.STRIPE)
 
 
 @query("SELECT read_id, least(lo + 40000, size) - lo AS n FROM (SELECT read_id, lo, (inode % 7) * 9000 AS size FROM reads) WHERE lo < size UNION ALL SELECT read_id, 0 FROM reads WHERE lo >= (inode % 7) * 9000")
@@ -101,15 +114,37 @@ def overlap_test(spark, d):
 
 
 @query(
-    """, lists AS (SELECT inode, stripe_id, list(seq ORDER BY seq) AS a, list(seq ORDER BY logical_off, seq) AS b FROM fragments GROUP BY ALL)
+    """, lists AS (SELECT inode, stripe_id, list((seq, logical_off, length, tier, segment_id, segment_offset) ORDER BY seq) AS a, list((seq, logical_off, length, tier, segment_id, segment_offset) ORDER BY logical_off, seq) AS b FROM fragments GROUP BY ALL)
 SELECT inode, stripe_id, a = b AS same FROM lists"""
 )
 def fragment_lists_equal(spark, d):
-    f = V.fragments(spark, d).groupBy("inode", "stripe_id")
-    lists = f.agg(F.sort_array(F.collect_list("seq")).alias("a"), F.transform(F.sort_array(F.collect_list(F.struct("logical_off", "seq"))), lambda x: x["seq"]).alias("b"))
+    """Whether a stripe's whole records in the order of seqs are those in the order of offsets."""
+    record = F.struct("seq", "logical_off", "length", "tier", "segment_id", "segment_offset")
+    lists = V.fragments(spark, d).groupBy("inode", "stripe_id").agg(F.sort_array(F.collect_list(record)).alias("a"), F.transform(F.sort_array(F.collect_list(F.struct("logical_off", "seq", record.alias("r")))), lambda x: x["r"]).alias("b"))
     return lists.select("inode", "stripe_id", (F.col("a") == F.col("b")).alias("same"))
 
 
+@query("SELECT seq, lpad(to_hex(inode), 16, '0') = lpad(to_hex(logical_off % 100), 16, '0') AS same FROM versions")
+def bytes_equal(spark, d):
+    """Equality of byte slices, of any lengths and values."""
+    v = V.versions(V.table(spark, d, "events"))
+    a, b = codecs.big_endian(F.col("inode"), 8), codecs.big_endian(F.col("logical_off") % 100, 8)
+    return v.select("seq", S.same_bytes(a, b).alias("same"))
+
+
+@query("SELECT o.o_orderkey + o.o_orderkey % 2 AS key, c.o_custkey AS value, c.o_orderkey IS NOT NULL AS found FROM orders o LEFT JOIN orders c ON c.o_orderkey = o.o_orderkey + o.o_orderkey % 2", views=False)
+def point_get(spark, d):
+    """Records by key, with whether they exist."""
+    orders = V.table(spark, d, "orders")
+    keys = orders.select((F.col("o_orderkey") + F.col("o_orderkey") % 2).alias("key"))
+    return G.get(keys, orders.select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("value")), ["key"])
+
+
+@query("SELECT f.inode, f.stripe_id, f.seq, f.logical_off, f.length FROM fragments f WHERE f.inode = 7 AND f.stripe_id = 1")
+def one_stripe(spark, d):
+    return O.stripe_fragments(V.fragments(spark, d), 7, 1).select("inode", "stripe_id", "seq", "logical_off", "length")
+
+
 # --- maintenance -----------------------------------------------------------------------------------------------------
 
 
@@ -178,15 +213,39 @@ def backoff(spark, d):
 
 
 @query(
-    """, runs AS (SELECT event_id % 3 AS evicts, event_id % 2 AS gcs, duration_nanos AS n FROM op_log)
-SELECT sum(evicts)::BIGINT AS evicts, sum(gcs)::BIGINT AS gcs, sum(evicts)::BIGINT AS moves_ok, 0::BIGINT AS moves_failed, sum(n)::BIGINT AS bytes_moved, sum(n)::BIGINT AS move_nanos, 0::BIGINT AS gc_nanos,
-       sum(n)::DOUBLE / sum(evicts) AS move_avg_nanos, 0::DOUBLE AS gc_avg_nanos FROM runs"""
+    """, runs AS (SELECT event_id AS tick_s, event_id % 10 < 4 AS failed, event_id % 3 AS evicts, event_id % 2 AS gcs, event_id % 7 AS moves_failed, duration_nanos AS n FROM op_log),
+last AS (SELECT max(tick_s) FILTER (NOT failed) AS clean FROM runs)
+SELECT sum(evicts)::BIGINT AS evicts, sum(gcs)::BIGINT AS gcs, sum(evicts)::BIGINT AS moves_ok, sum(moves_failed)::BIGINT AS moves_failed, sum(n)::BIGINT AS bytes_moved, sum(n)::BIGINT AS move_nanos, sum(n * 2)::BIGINT AS gc_nanos,
+       max(tick_s) AS last_tick_s, max(tick_s) FILTER (failed) AS last_error_s, (SELECT count(*) FROM runs r, last WHERE r.tick_s > clean) AS consecutive_errors,
+       sum(n)::DOUBLE / sum(evicts) AS move_avg_nanos, sum(n * 2)::DOUBLE / sum(gcs) AS gc_avg_nanos FROM runs"""
 )
 def mover_summary(spark, d):
-    log, n = V.op_log(spark, d), F.col("duration_nanos")
-    evicts = F.col("event_id") % 3
-    zero = F.lit(0).cast("long")
-    return M.mover_summary(log.select(evicts.alias("evicts"), (F.col("event_id") % 2).alias("gcs"), evicts.alias("moves_ok"), zero.alias("moves_failed"), n.alias("bytes_moved"), n.alias("move_nanos"), zero.alias("gc_nanos")))
+    log, n, at = V.op_log(spark, d), F.col("duration_nanos"), F.col("event_id")
+    evicts = (at % 3).alias("evicts")
+    return M.mover_summary(log.select(at.alias("tick_s"), (at % 10 < 4).alias("failed"), evicts, (at % 2).alias("gcs"), evicts.alias("moves_ok"), (at % 7).alias("moves_failed"), n.alias("bytes_moved"), n.alias("move_nanos"), (n * 2).alias("gc_nanos")))
+
+
+@query(
+    """SELECT user_id AS mover, event_id AS tick, n AS consecutive_errors, CASE WHEN n = 0 THEN 30 WHEN n >= 4 THEN 300 ELSE 30 * 2 ** n END::BIGINT AS delay
+FROM (SELECT *, count(*) FILTER (failed) OVER (PARTITION BY user_id, streak ORDER BY event_id) AS n
+      FROM (SELECT user_id, event_id, event_id % 5 < 3 AS failed, count(*) FILTER (event_id % 5 >= 3) OVER (PARTITION BY user_id ORDER BY event_id) AS streak FROM events))""",
+    views=False,
+)
+def mover_schedule(spark, d):
+    """Each user's events as the passes of a mover: how long it waits after each."""
+    at = F.col("event_id")
+    return M.schedule(V.table(spark, d, "events").select(F.col("user_id").alias("mover"), at.alias("tick"), (at % 5 < 3).alias("failed")), 30, 300)
+
+
+@query("SELECT max(seq) + 1 AS next_seq FROM fragments")
+def next_seq(spark, d):
+    """Seqs go on behind the highest there is, as the data has it."""
+    return spark.createDataFrame([(M.next_seq(V.fragments(spark, d)),)], "next_seq long")
+
+
+@query("SELECT 4096 AS block_size, 10000000 // 4096 AS blocks, (10000000 - used) // 4096 AS blocks_free, (10000000 - used) // 4096 AS blocks_avail FROM (SELECT sum(size)::BIGINT AS used FROM segments WHERE tier = 1)")
+def statfs(spark, d):
+    return M.statfs(V.segments(spark, d), 10_000_000)
 
 
 # --- namespace -------------------------------------------------------------------------------------------------------
@@ -250,9 +309,10 @@ def descendant_test(spark, d):
     return N.is_descendant(pairs, e)
 
 
-@query("SELECT inode FROM nodes WHERE mode = 16877 AND inode NOT IN (SELECT parent FROM dirents)")
+@query("SELECT inode FROM nodes WHERE mode = 16877 AND inode NOT IN (SELECT parent FROM dirents WHERE child < 1000 OR parent % 3 = 0)")
 def empty_dirs(spark, d):
-    return N.empty_dirs(V.dirents(spark, d), V.nodes(spark, d))
+    """Two thirds of the nations have lost their customers."""
+    return N.empty_dirs(V.dirents(spark, d).where("child < 1000 OR parent % 3 = 0"), V.nodes(spark, d))
 
 
 @query(
@@ -292,47 +352,186 @@ def setattr_apply(spark, d):
     return N.setattr_(n, u, F.lit(99).cast("long")).select("inode", "mode", "uid", "gid", "size", "mtime_ns", "ctime_ns")
 
 
+def _asked(spark, d):
+    """For each customer a request: a name that is taken, a parent that is a file, a bad name, or one that applies (a file, a
+    directory or a symbolic link)."""
+    k, id_ = F.col("child") % 4, F.col("child")
+    return V.dirents(spark, d).where("child >= 1000").select(
+        id_.alias("request_id"), F.when(id_ % 16 == 3, "dir").when(id_ % 16 == 7, "symlink").otherwise("file").alias("kind"), F.when(k == 1, id_).otherwise(F.col("parent")).alias("parent"),
+        F.when(k == 0, F.col("name")).when(k == 2, "a/b").otherwise(F.concat("name", F.lit(".new"))).alias("name"), F.lit(0o644).alias("mode"), F.lit(0).cast("long").alias("uid"), F.lit(0).cast("long").alias("gid"), F.concat(F.lit("../"), "name").alias("target"),
+    )
+
+
+_MADE = """, asked AS (SELECT child AS id, parent, name FROM dirents WHERE child >= 1000),
+made AS (SELECT id, parent, name || '.new' AS name, '../' || name AS target, 1000000 + row_number() OVER (ORDER BY id) - 1 AS inode FROM asked WHERE id % 4 = 3)
+"""
+
+
+@query(_MADE + "SELECT id AS request_id, CASE WHEN id % 4 = 0 THEN 17 WHEN id % 4 = 1 THEN 20 WHEN id % 4 = 2 THEN 22 ELSE 0 END AS status, inode FROM asked LEFT JOIN made USING (id)")
+def create_nodes(spark, d):
+    return N.create(_asked(spark, d), V.dirents(spark, d), V.nodes(spark, d), 1_000_000, 5)[0]
+
+
 @query(
-    """, asked AS (SELECT child AS id, parent, name FROM dirents WHERE child >= 1000)
-SELECT id AS request_id, CASE WHEN id % 4 = 0 THEN 17 WHEN id % 4 = 1 THEN 20 WHEN id % 4 = 2 THEN 22 ELSE 0 END AS status,
-  CASE WHEN id % 4 = 3 THEN 1000000 + row_number() OVER (PARTITION BY id % 4 ORDER BY id) - 1 END AS inode FROM asked"""
+    _MADE
+    + """, dirs AS (SELECT parent AS inode, count(*) AS n FROM made WHERE id % 16 = 3 GROUP BY parent)
+SELECT inode, mode, nlink + coalesce(n, 0) AS nlink, size, CASE WHEN n > 0 THEN 5 ELSE ctime_ns END AS ctime_ns, NULL AS symlink_target, NULL AS name FROM nodes LEFT JOIN dirs USING (inode)
+UNION ALL SELECT inode, CASE WHEN id % 16 = 3 THEN 16804 WHEN id % 16 = 7 THEN 41471 ELSE 33188 END, CASE WHEN id % 16 = 3 THEN 2 ELSE 1 END, CASE WHEN id % 16 = 7 THEN strlen(target) ELSE 0 END, 5, CASE WHEN id % 16 = 7 THEN target END, name FROM made"""
 )
-def create_nodes(spark, d):
+def created_nodes(spark, d):
+    """All nodes after create, mkdir and symlink, the new ones with their names."""
     e = V.dirents(spark, d)
-    k = F.col("child") % 4
-    asked = e.where("child >= 1000").select(
-        F.col("child").alias("request_id"), F.when(F.col("child") % 8 == 3, "dir").otherwise("file").alias("kind"), F.when(k == 1, F.col("child")).otherwise(F.col("parent")).alias("parent"),
-        F.when(k == 0, F.col("name")).when(k == 2, "a/b").otherwise(F.concat("name", F.lit(".new"))).alias("name"), F.lit(0o644).alias("mode"), F.lit(0).cast("long").alias("uid"), F.lit(0).cast("long").alias("gid"), F.lit(None).cast("string").alias("target"),
-    )
-    return N.create(asked, e, V.nodes(spark, d), 1_000_000, 5)[0]
+    _, entries, nodes = N.create(_asked(spark, d), e, V.nodes(spark, d), 1_000_000, 5)
+    names = entries.where("child >= 1000000").select(F.col("child").alias("inode"), "name")
+    return nodes.join(names, "inode", "left").select("inode", "mode", "nlink", "size", "ctime_ns", "symlink_target", "name")
 
 
-@query("SELECT parent, name, child FROM dirents WHERE child < 1000 OR child % 5 <> 0")
-def unlink_files(spark, d):
+@query(_MADE + "SELECT inode, CASE WHEN id % 16 = 7 THEN 0 ELSE 22 END AS status, CASE WHEN id % 16 = 7 THEN target END AS target FROM made UNION ALL SELECT -inode, 2, NULL FROM nodes")
+def readlink(spark, d):
+    """The targets of new links; EINVAL for other new nodes, ENOENT for inodes that there aren't."""
+    nodes = N.create(_asked(spark, d), V.dirents(spark, d), V.nodes(spark, d), 1_000_000, 5)[2]
+    asked = nodes.where("inode >= 1000000").select("inode").union(V.nodes(spark, d).select(-F.col("inode")))
+    return N.readlink(asked, nodes)
+
+
+@query("SELECT inode, 0 AS status FROM nodes UNION ALL SELECT -inode, 2 FROM nodes")
+def open_status(spark, d):
+    n = V.nodes(spark, d)
+    return N.open_inodes(n.select("inode").union(n.select(-F.col("inode"))), n)
+
+
+def _unlinked(spark, d):
+    """Unlinks of every fifth entry, of names that don't exist or aren't names, of directories, and of entries to nowhere; half
+    of the customers have a second name."""
     e = V.dirents(spark, d)
-    asked = e.where("child % 5 = 0 AND child <> 2").select(F.col("child").alias("request_id"), "parent", "name")
-    return N.unlink(asked, e, V.nodes(spark, d), 5)[1].select("parent", "name", "child")
+    more = e.where("child >= 1000 AND child % 2 = 0").select("parent", F.concat("name", F.lit(".2")).alias("name"), "child").union(e.where("child < 100").select("parent", F.concat("name", F.lit(".gone")).alias("name"), -F.col("child")))
+    n = V.nodes(spark, d).withColumn("nlink", F.when((F.col("inode") >= 1000) & (F.col("inode") % 2 == 0), 2).otherwise(F.col("nlink")).cast("long"))
+    whole = e.unionByName(more)
+    asked = e.where("child % 5 = 0").select(F.col("child").alias("request_id"), "parent", "name").union(e.where("child % 5 = 1").select("child", "parent", F.when(F.col("child") % 2 == 0, "..").otherwise("none")))
+    asked = asked.union(whole.where("child < 0").select("child", "parent", "name")).union(e.where("child >= 1000 AND child % 10 = 0").select(F.col("child") + 1_000_000, "parent", F.concat("name", F.lit(".2"))))
+    return N.unlink(asked, whole, n, 5)
+
+
+@query(
+    """SELECT child AS request_id, CASE WHEN child < 1000 THEN 21 ELSE 0 END AS status FROM dirents WHERE child % 5 = 0
+UNION ALL SELECT child, CASE WHEN child % 2 = 0 THEN 22 ELSE 2 END FROM dirents WHERE child % 5 = 1
+UNION ALL SELECT -child, 5 FROM dirents WHERE child < 100 UNION ALL SELECT child + 1000000, 0 FROM dirents WHERE child >= 1000 AND child % 10 = 0"""
+)
+def unlink_status(spark, d):
+    return _unlinked(spark, d)[0]
+
+
+@query(
+    """SELECT parent, name, child FROM dirents WHERE child < 1000 OR child % 5 <> 0 UNION ALL SELECT parent, name || '.2', child FROM dirents WHERE child >= 1000 AND child % 2 = 0 AND child % 10 <> 0
+UNION ALL SELECT parent, name || '.gone', -child FROM dirents WHERE child < 100"""
+)
+def unlink_files(spark, d):
+    return _unlinked(spark, d)[1].select("parent", "name", "child")
 
 
-@query("SELECT child AS request_id, CASE WHEN child >= 1000 THEN 20 WHEN child IN (SELECT parent FROM dirents) THEN 39 ELSE 0 END AS status FROM dirents")
+@query(
+    """SELECT inode, CASE WHEN inode >= 1000 AND inode % 2 = 0 THEN 2 ELSE nlink END AS nlink, ctime_ns, false AS freed FROM nodes WHERE inode < 1000 OR inode % 5 <> 0
+UNION ALL SELECT inode, NULL, NULL, true FROM nodes WHERE inode >= 1000 AND inode % 5 = 0"""
+)
+def unlink_nodes(spark, d):
+    """Nodes after the unlinks, and those whose last name went."""
+    _, _, nodes, gone = _unlinked(spark, d)
+    none = F.lit(None).cast("long")
+    return nodes.select("inode", "nlink", "ctime_ns", F.lit(False).alias("freed")).union(gone.select("inode", none, none, F.lit(True)))
+
+
+def _removed(spark, d):
+    """Every entry is asked to go, names that aren't names too; a third of the nations are empty."""
+    e = V.dirents(spark, d).where("child < 1000 OR parent % 3 > 0")
+    asked = e.select(F.col("child").alias("request_id"), "parent", "name").union(e.where("child < 1000").select(-F.col("child"), "parent", F.lit(".")))
+    return N.rmdir(asked, e, V.nodes(spark, d), 5)
+
+
+_LEFT = ", kept AS (SELECT * FROM dirents WHERE child < 1000 OR parent % 3 > 0), empty AS (SELECT * FROM kept WHERE child < 1000 AND child NOT IN (SELECT parent FROM kept))\n"
+
+
+@query(_LEFT + "SELECT child AS request_id, CASE WHEN child >= 1000 THEN 20 WHEN child IN (SELECT child FROM empty) THEN 0 ELSE 39 END AS status FROM kept UNION ALL SELECT -child, 22 FROM kept WHERE child < 1000")
 def rmdir_status(spark, d):
-    e = V.dirents(spark, d)
-    return N.rmdir(e.select(F.col("child").alias("request_id"), "parent", "name"), e, V.nodes(spark, d), 5)[0]
+    return _removed(spark, d)[0]
+
+
+@query(_LEFT + "SELECT inode, nlink - coalesce(m, 0) AS nlink, CASE WHEN m > 0 THEN 5 ELSE ctime_ns END AS ctime_ns FROM nodes LEFT JOIN (SELECT parent AS inode, count(*) AS m FROM empty GROUP BY parent) USING (inode) WHERE inode NOT IN (SELECT child FROM empty)")
+def rmdir_nodes(spark, d):
+    return _removed(spark, d)[2].select("inode", "nlink", "ctime_ns")
 
 
-@query("SELECT child AS request_id, CASE WHEN child < 1000 THEN 1 ELSE 0 END AS status FROM dirents")
+def _linked(spark, d):
+    """A second name for every file; one for a directory, under a file, with a name that is taken or none."""
+    e, id_ = V.dirents(spark, d), F.col("child")
+    kind = id_ % 4
+    return N.link(e.select(id_.alias("request_id"), id_.alias("inode"), F.when(kind == 1, id_).otherwise(F.col("parent")).alias("parent"), F.when(kind == 2, F.col("name")).when(kind == 3, "").otherwise(F.concat("name", F.lit(".ln"))).alias("name")), e, V.nodes(spark, d), 5)
+
+
+@query("SELECT child AS request_id, CASE WHEN child % 4 = 3 THEN 22 WHEN child < 1000 THEN 1 WHEN child % 4 = 1 THEN 20 WHEN child % 4 = 2 THEN 17 ELSE 0 END AS status FROM dirents")
 def link_status(spark, d):
+    return _linked(spark, d)[0]
+
+
+@query("SELECT inode, nlink + done AS nlink, CASE WHEN done = 1 THEN 5 ELSE ctime_ns END AS ctime_ns FROM (SELECT *, CASE WHEN inode >= 1000 AND inode % 4 = 0 THEN 1 ELSE 0 END AS done FROM nodes)")
+def link_nodes(spark, d):
+    return _linked(spark, d)[2].select("inode", "nlink", "ctime_ns")
+
+
+def _renamed(spark, d):
+    """Even customers move to the first region; of the odd ones every third takes the place of a file of another parent, every
+    third asks what is refused, and the rest ask twice for one source. Regions and nations can't go below themselves, and a
+    nation moves to another region."""
     e = V.dirents(spark, d)
-    return N.link(e.select(F.col("child").alias("request_id"), F.col("child").alias("inode"), "parent", F.concat("name", F.lit(".ln")).alias("name")), e, V.nodes(spark, d), 5)[0]
+    move = lambda rows, parent, name, id_=F.col("child"): rows.select(id_.alias("request_id"), F.col("parent").alias("old_parent"), F.col("name").alias("old_name"), parent.cast("long").alias("new_parent"), name.alias("new_name"))
+    child, first = F.col("child"), F.lit(2)
+    odd = e.where("child >= 1000 AND child % 2 = 1")
+    taken = e.where("child >= 1000 AND child % 6 = 1").select((child + 2).alias("other"), F.col("parent").alias("old_parent"), F.col("name").alias("old_name"), child.alias("request_id"))
+    targets = e.select(child.alias("other"), F.col("parent").alias("new_parent"), F.col("name").alias("new_name"))
+    over = taken.join(targets, "other").select("request_id", "old_parent", "old_name", "new_parent", "new_name")
+    bad = move(odd.where("child % 6 = 5 AND child % 4 = 1"), first, F.lit("a/b")).union(move(odd.where("child % 6 = 5 AND child % 4 = 3"), child, F.lit("x")))
+    twice = move(odd.where("child % 6 = 5"), first, F.concat("name", F.lit(".again")), child + 2_000_000).union(move(odd.where("child % 6 = 5"), F.lit(3), F.concat("name", F.lit(".twice")), child + 3_000_000))
+    loops = move(e.where("child < 1000"), child, F.lit("loop"), child + 4_000_000)
+    dirs = move(e.where("child BETWEEN 100 AND 999 AND child % 5 = 0"), 2 + (F.col("parent") - 1) % 5, F.concat("name", F.lit(".moved")))
+    files = move(e.where("child >= 1000 AND child % 2 = 0"), first, F.concat("name", F.lit(".moved")))
+    return N.rename(files.union(over).union(bad).union(twice).union(loops).union(dirs), e, V.nodes(spark, d), 5)
+
+
+_OVER = ", hit AS (SELECT a.child AS id, a.parent AS old_parent, b.parent AS parent, b.name, b.child AS victim FROM dirents a JOIN dirents b ON b.child = a.child + 2 WHERE a.child >= 1000 AND a.child % 6 = 1)\n"
+
+
+@query(
+    _OVER
+    + """SELECT child AS request_id, 0 AS status FROM dirents WHERE child >= 1000 AND child % 2 = 0 UNION ALL SELECT id, 0 FROM hit
+UNION ALL SELECT child, CASE WHEN child % 4 = 1 THEN 22 ELSE 20 END FROM dirents WHERE child >= 1000 AND child % 6 = 5
+UNION ALL SELECT child + 2000000, 0 FROM dirents WHERE child >= 1000 AND child % 6 = 5 UNION ALL SELECT child + 3000000, 2 FROM dirents WHERE child >= 1000 AND child % 6 = 5
+UNION ALL SELECT child + 4000000, 22 FROM dirents WHERE child < 1000 UNION ALL SELECT child, 0 FROM dirents WHERE child BETWEEN 100 AND 999 AND child % 5 = 0"""
+)
+def rename_status(spark, d):
+    return _renamed(spark, d)[0]
 
 
-@query("SELECT CASE WHEN child % 2 = 0 THEN 2 ELSE parent END AS parent, CASE WHEN child % 2 = 0 THEN name || '.moved' ELSE name END AS name, child FROM dirents WHERE child >= 1000 UNION ALL SELECT parent, name, child FROM dirents WHERE child < 1000")
+@query(
+    _OVER
+    + """SELECT parent, name, child FROM dirents WHERE child < 100 OR child < 1000 AND child % 5 <> 0 UNION ALL SELECT 2 + (parent - 1) % 5, name || '.moved', child FROM dirents WHERE child BETWEEN 100 AND 999 AND child % 5 = 0
+UNION ALL SELECT 2, name || '.moved', child FROM dirents WHERE child >= 1000 AND child % 2 = 0 UNION ALL SELECT 2, name || '.again', child FROM dirents WHERE child >= 1000 AND child % 6 = 5
+UNION ALL SELECT parent, name, id FROM hit UNION ALL SELECT parent, name, child FROM dirents WHERE child >= 1000 AND (child % 6 = 3 AND child NOT IN (SELECT victim FROM hit) OR child % 6 = 1 AND child NOT IN (SELECT id FROM hit))"""
+)
 def rename_apply(spark, d):
-    """Even customers move to the first region; regions and nations can't go below themselves."""
-    e = V.dirents(spark, d)
-    files = e.where("child >= 1000 AND child % 2 = 0").select(F.col("child").alias("request_id"), F.col("parent").alias("old_parent"), F.col("name").alias("old_name"), F.lit(2).cast("long").alias("new_parent"), F.concat("name", F.lit(".moved")).alias("new_name"))
-    loops = e.where("child < 1000").select(F.col("child").alias("request_id"), F.col("parent").alias("old_parent"), F.col("name").alias("old_name"), F.col("child").alias("new_parent"), F.lit("loop").alias("new_name"))
-    return N.rename(files.union(loops), e, V.nodes(spark, d))[1].select("parent", "name", "child")
+    return _renamed(spark, d)[1].select("parent", "name", "child")
+
+
+@query(
+    _OVER
+    + """, gone AS (SELECT parent AS inode, -1 AS n FROM dirents WHERE child BETWEEN 100 AND 999 AND child % 5 = 0 UNION ALL SELECT 2 + (parent - 1) % 5, 1 FROM dirents WHERE child BETWEEN 100 AND 999 AND child % 5 = 0),
+delta AS (SELECT inode, sum(n)::BIGINT AS n FROM gone GROUP BY inode)
+SELECT inode, nlink + coalesce(n, 0) AS nlink, CASE WHEN n IS NOT NULL THEN 5 ELSE ctime_ns END AS ctime_ns, false AS freed FROM nodes LEFT JOIN delta USING (inode) WHERE inode NOT IN (SELECT victim FROM hit)
+UNION ALL SELECT victim, NULL, NULL, true FROM hit"""
+)
+def rename_nodes(spark, d):
+    """Nodes after the renames, and the overwritten ones whose last name went."""
+    _, _, nodes, gone = _renamed(spark, d)
+    none = F.lit(None).cast("long")
+    return nodes.select("inode", "nlink", "ctime_ns", F.lit(False).alias("freed")).union(gone.select("inode", none, none, F.lit(True)))
 
 
 # --- writes ----------------------------------------------------------------------------------------------------------
@@ -392,7 +591,13 @@ def health_status(spark, d):
     return T.health(rows).select("scenario", "code", "reason")
 
 
-@query()
+@query(
+    """, stats AS (SELECT op, count(*) AS calls, count(*) FILTER (is_error) AS errors, sum(duration_nanos) AS n FROM op_log GROUP BY op),
+samples AS (SELECT op, 'tidemark_op_calls_total' AS name, 'Calls by operation.' AS help, calls::DOUBLE AS v FROM stats UNION ALL SELECT op, 'tidemark_op_errors_total', 'Failed calls by operation.', errors::DOUBLE FROM stats
+            UNION ALL SELECT op, 'tidemark_op_duration_seconds_total', 'Total time by operation.', n::DOUBLE / 1e9 FROM stats)
+SELECT name, '# HELP ' || name || ' ' || any_value(help) || chr(10) || '# TYPE ' || name || ' counter' || chr(10) || string_agg(name || '{op="' || op || '"} ' || regexp_replace(v::VARCHAR, '[.]0$', ''), chr(10) ORDER BY op) || chr(10) AS text
+FROM samples GROUP BY name"""
+)
 def metrics_text(spark, d):
     return T.metrics_text(T.op_samples(T.op_stats(V.op_log(spark, d))))
 
@@ -406,6 +611,7 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join(f"({', '.join(map(show, r))})" for r in rows)
 
 
+# Sizes in bytes as text.
 _SIZES = [
     ("0", 0), ("1", 1), ("1024", 1024), ("1B", 1), ("1b", 1), ("1K", 1 << 10), ("1KB", 1 << 10), ("1KiB", 1 << 10), ("1M", 1 << 20), ("500MB", 500 << 20), ("2G", 2 << 30), ("10gb", 10 << 30), ("1.5GiB", 3 << 29),
     ("1T", 1 << 40), ("500GB", 500 << 30), ("  10MiB  ", 10 << 20), ("", None), ("K", None), ("500XB", None), ("-1G", None), ("1.2.3GB", None), ("3 kb", 3 << 10), ("1p", 1 << 50), ("2PiB", 2 << 50),
@@ -418,16 +624,18 @@ def parse_bytes(spark, d):
 
 
 @query(
-    """SELECT n, CASE WHEN n = 0 THEN '0' WHEN n % 1073741824 = 0 THEN (n // 1073741824) || 'GiB' WHEN n % 1048576 = 0 THEN (n // 1048576) || 'MiB' WHEN n % 1024 = 0 THEN (n // 1024) || 'KiB' ELSE n::VARCHAR END AS text
-FROM (SELECT o_orderkey * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END AS n FROM orders) WHERE n < 1099511627776""",
+    """SELECT n, CASE WHEN n = 0 THEN '0' WHEN n % 1125899906842624 = 0 THEN (n // 1125899906842624) || 'PiB' WHEN n % 1099511627776 = 0 THEN (n // 1099511627776) || 'TiB' WHEN n % 1073741824 = 0 THEN (n // 1073741824) || 'GiB' WHEN n % 1048576 = 0 THEN (n // 1048576) || 'MiB' WHEN n % 1024 = 0 THEN (n // 1024) || 'KiB' ELSE n::VARCHAR END AS text
+FROM (SELECT o_orderkey % 4096 * CASE o_orderkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 WHEN 3 THEN 1073741824 WHEN 4 THEN 1099511627776 WHEN 5 THEN 1125899906842624 ELSE 1000 END AS n FROM orders)""",
     views=False,
 )
 def format_bytes(spark, d):
+    """Every order's key, up to 4095 of a unit of bytes."""
     k = F.col("o_orderkey")
-    n = k * F.when(k % 4 == 0, 1).when(k % 4 == 1, 1 << 10).when(k % 4 == 2, 1 << 20).otherwise(1 << 30)
-    return V.table(spark, d, "orders").select(n.alias("n")).where(F.col("n") < 1 << 40).select("n", S.format_bytes(F.col("n")).alias("text"))
+    unit = F.element_at(F.array(*(F.lit(1 << p).cast("long") for p in (0, 10, 20, 30, 40, 50)), F.lit(1000).cast("long")), (k % 7 + 1).cast("int"))
+    return V.table(spark, d, "orders").select((k % 4096 * unit).alias("n")).select("n", S.format_bytes(F.col("n")).alias("text"))
 
 
+# Cases whose results must agree.
 _PATHS = [("/a/b/c.txt", "a|b|c.txt"), ("/", ""), ("", ""), ("a//b/", "a|b"), ("/a/./b/../c", "a|c"), ("/../..", ""), ("../x", "x"), ("a/b/../../c/..", "")]
 
 
@@ -436,6 +644,7 @@ def path_split(spark, d):
     return spark.createDataFrame([(p,) for p, _ in _PATHS], "path string").select("path", F.array_join(S.split_path(F.col("path")), "|").alias("parts"))
 
 
+# Names and whether they are valid.
 _NAMES = [("", False), (".", False), ("..", False), ("a/b", False), ("ok", True), ("...", True), (" ", True)]
 
 
@@ -497,35 +706,44 @@ def _records(spark, d):
     return v.withColumn("stripe_id", O.stripe_of(F.col("logical_off"), V.STRIPE)).withColumn("payload", F.expr("unhex(repeat(lpad(hex(seq % 256), 2, '0'), CAST(length AS INT)))"))
 
 
-def scanned(spark, d):
-    """Every record of the table as the scan of torn segments gives it back."""
+def _chunks(spark, d):
+    """Every record of the table in chunks of segment files of 1 MiB, and where each lies."""
     rows = _records(spark, d)
-    placed = G.pack(rows, 1 << 20).drop("length")
-    framed = G.frame(rows.drop("segment_id", "segment_offset").join(placed, ["tier", "seq"]))
-    torn = G.contents(framed).select("segment_id", F.concat("content", F.lit(bytearray(b"junk" * 16))).alias("content"))
+    placed = G.pack(rows, 1 << 20)
+    framed = G.frame(rows.drop("segment_id", "segment_offset").join(placed.drop("length"), ["tier", "seq"]))
+    return G.chunks(framed, 1 << 16), rows.drop("segment_id", "segment_offset", "payload", "stripe_id").join(placed.drop("length"), ["tier", "seq"])
+
+
+def scanned(spark, d):
+    """Every record of the table as the scan of segments with junk behind gives it back."""
+    chunks, _ = _chunks(spark, d)
+    chunks = chunks.withColumn("segment_id", F.col("tier") * 1_000_000 + F.col("segment_id"))
+    last = chunks.groupBy("segment_id").agg((F.max("chunk") + 1).alias("chunk"))
+    torn = chunks.select("segment_id", "chunk", "data").union(last.select("segment_id", "chunk", F.lit(bytearray(b"junk" * 16))))
     return G.scan(torn).select("inode", "stripe_id", "seq", "logical_off", "length")
 
 
-@query("SELECT inode, logical_off // 16384 AS stripe_id, seq, logical_off, length FROM versions WHERE seq % 10 = 0")
+@query("SELECT inode, logical_off // 16384 AS stripe_id, seq, logical_off, length FROM versions")
 def segment_scan(spark, d):
-    """Records framed, packed into segments with junk behind, and scanned back: all of them, of which the SQL shows a tenth."""
-    return scanned(spark, d).where("seq % 10 = 0")
+    return scanned(spark, d)
 
 
-@query()
+@query(
+    """RECURSIVE, c AS (SELECT tier, seq, length + 44 AS size, row_number() OVER w AS i, (sum(length + 44) OVER w)::BIGINT AS upto FROM versions WINDOW w AS (PARTITION BY tier ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+files AS (SELECT DISTINCT tier, 1::BIGINT AS id, 1::BIGINT AS first, 0::BIGINT AS base FROM c
+  UNION ALL SELECT f.tier, f.id + 1, min(i), min(upto - size) FROM files f JOIN c ON c.tier = f.tier AND i > first AND upto - base > 1048576 GROUP BY f.tier, f.id)
+SELECT c.tier, seq, max(id) AS segment_id, upto - size - max(base) + 40 AS segment_offset FROM c JOIN files f ON f.tier = c.tier AND first <= i GROUP BY c.tier, seq, upto, size"""
+)
 def segment_rotation(spark, d):
     return G.rotate(V.versions(V.table(spark, d, "events")), 1 << 20)
 
 
 @query()
 def read_payloads(spark, d):
-    """The bytes of one read of each inode, from segment contents: stored data, and zeros in holes."""
-    rows = _records(spark, d)
-    placed = G.pack(rows, 1 << 20)
-    framed = G.frame(rows.drop("segment_id", "segment_offset").join(placed.drop("length"), ["tier", "seq"]))
-    stored = rows.drop("segment_id", "segment_offset", "payload").join(placed.drop("length"), ["tier", "seq"])
-    data = O.read_payloads(O.read_plan(stored, V.reads(spark, d)), G.contents(framed))
-    return data.select("read_id", F.md5(F.hex("data").cast("binary")).alias("digest"))
+    """A digest of the bytes of one read of each inode, from the slices that segments give: stored data, and zeros in holes."""
+    chunks, stored = _chunks(spark, d)
+    plan = O.read_plan(stored, V.reads(spark, d), V.STRIPE)
+    return O.read_digests(O.read_slices(plan, chunks, 1 << 16))
 
 
 ORACLE["read_payloads"] = (

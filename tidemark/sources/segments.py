@@ -1,12 +1,14 @@
-"""Segment files: framing, packing into files, discovery, scanning with torn-tail cut-off, and legacy imports.
+"""Segment files: framing, packing into files, discovery, scanning with torn-tail cut-off, removal, and legacy imports.
 
-Records are framed in the JVM. A scan yields a file's records up to the first that is short or fails a check, which is what a
-repair would keep; nothing is ever truncated in place.
+Records are framed in the JVM. A file's bytes travel as chunks (segment_id, chunk, data) of SLICE_BYTES, so a segment of any
+size is never one value. A scan walks a file's chunks in order and yields its records up to the first that is short or fails
+a check, which is what a repair keeps.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -17,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.codecs import little_endian
 from tidemark.functions.scalars import framed_size, segment_file, segment_id_of
+from tidemark.plans.groups import by_batch
 from tidemark.plans.ordered import running_total
-from tidemark.schemas import HEADER_BYTES, RECORD_MAGIC, RECORD_VERSION, RECORDS, SEGMENT_BYTES, TRAILER_BYTES
-from tidemark.session import ship
+from tidemark.schemas import HEADER_BYTES, RECORD_MAGIC, RECORD_VERSION, RECORDS, SEGMENT_BYTES, SLICE_BYTES, TRAILER_BYTES
 
 _HEADER = struct.Struct("<4sBBHQIQqI")
 
@@ -66,21 +68,76 @@ def pack(records: DataFrame, max_bytes: int = SEGMENT_BYTES) -> DataFrame:
     return placed.join(start, ["tier", "segment_id"]).select("tier", "seq", "segment_id", (F.col("before") - F.col("start") + HEADER_BYTES).alias("segment_offset"))
 
 
-def contents(framed: DataFrame) -> DataFrame:
-    """tier, segment_id and content: framed records joined up in the order of their offsets; a file has bounded size."""
-    parts = framed.groupBy("tier", "segment_id").agg(F.sort_array(F.collect_list(F.struct("segment_offset", F.hex("framed").alias("h")))).alias("parts"))
-    return parts.select("tier", "segment_id", F.unhex(F.array_join(F.transform("parts", lambda p: p["h"]), "")).alias("content"))
+def _cut(rows: DataFrame, keys: list[str], start, data: str, size: int) -> DataFrame:
+    """rows' data, which begins at the offset start, cut at multiples of size: keys, chunk, at (in the chunk), data."""
+    end = start + F.length(data)
+    cut = rows.withColumn("__start", start).withColumn("__end", end).where(F.length(data) > 0)
+    cut = cut.withColumn("chunk", F.explode(F.expr(f"sequence(__start div {size}, (__end - 1) div {size})")))
+    low, high = F.greatest("__start", F.col("chunk") * size), F.least("__end", (F.col("chunk") + 1) * size)
+    return cut.select(*keys, "chunk", (low - F.col("chunk") * size).alias("at"), F.col(data).substr((low - F.col("__start") + 1).cast("int"), (high - low).cast("int")).alias("data"))
 
 
-def write_files(segments: DataFrame, folder: str) -> None:
-    """`%010d.seg` files for rows (segment_id, content), in a folder that all executors mount."""
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces in the order of tier, segment, chunk and place -> chunks."""
+    names, key, held = ["tier", "segment_id", "chunk", "data"], None, []
+
+    def chunk() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int8()), *(pa.array([k], pa.int64()) for k in key[1:]), pa.array([b"".join(held)], pa.binary())], names=names)
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:3] != key:
+                if held:
+                    yield chunk()
+                key, held = row[:3], []
+            held.append(row[4])
+    if held:
+        yield chunk()
+
+
+def chunks(framed: DataFrame, size: int = SLICE_BYTES) -> DataFrame:
+    """tier, segment_id, chunk and data: the files that framed records (segment_offset is that of the payload) make."""
+    start = (F.col("segment_offset") - HEADER_BYTES).cast("long")
+    pieces = _cut(framed.select(F.col("tier").cast("tinyint").alias("tier"), F.col("segment_id").cast("long").alias("segment_id"), "segment_offset", "framed"), ["tier", "segment_id"], start, "framed", size)
+    key = ["tier", "segment_id", "chunk"]
+    return by_batch(pieces.repartition(*key).sortWithinPartitions(*key, "at"), _filled, "tier tinyint, segment_id long, chunk long, data binary")
+
+
+def write_files(chunks: DataFrame, folder: str) -> None:
+    """`%010d.seg` files for chunks (segment_id, chunk, data), in a folder that all executors mount; a file is written by
+    one task, chunk by chunk, and gets its name when it is whole."""
 
     def save(rows: Iterator) -> None:
         Path(folder).mkdir(parents=True, exist_ok=True)
+        name, out = None, None
         for r in rows:
-            Path(folder, r["file"]).write_bytes(r["content"])
+            if r["file"] != name:
+                if out:
+                    done(out, name)
+                name, out = r["file"], Path(folder, f".{r['file']}.{uuid.uuid4().hex}").open("wb")
+            out.write(r["data"])
+        if out:
+            done(out, name)
+
+    def done(out, name: str) -> None:
+        out.close()
+        Path(out.name).rename(Path(folder, name))
 
-    segments.select(segment_file(F.col("segment_id")).alias("file"), "content").foreachPartition(save)
+    files = chunks.select(segment_file(F.col("segment_id")).alias("file"), "chunk", "data")
+    files.repartition("file").sortWithinPartitions("file", "chunk").foreachPartition(save)
+
+
+def remove_files(spark: SparkSession, folder: str, segments: DataFrame) -> int:
+    """Delete the files of segments (segment_id) in a folder, and how many there were; ids without a file don't matter."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = segments.select(segment_file(F.col("segment_id")).alias("file")).distinct().toLocalIterator()
+    return sum(store.delete(spark._jvm.org.apache.hadoop.fs.Path(root, r["file"]), False) for r in names)
+
+
+def stray_files(spark: SparkSession, folder: str, segments: DataFrame) -> DataFrame:
+    """segment_id of the files in a folder that segments (segment_id) doesn't list and that aren't the active one."""
+    return discover(spark, folder).where("NOT is_active").join(segments.select(F.col("segment_id").cast("long")).distinct(), "segment_id", "left_anti").select("segment_id")
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,54 +148,90 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     return found.crossJoin(F.broadcast(last)).select("segment_id", "size", (F.col("segment_id") == F.col("last")).alias("is_active"))
 
 
-def load(spark: SparkSession, folder: str) -> DataFrame:
-    """segment_id and content of the segment files in a folder."""
+def load(spark: SparkSession, folder: str, size: int = SLICE_BYTES) -> DataFrame:
+    """segment_id, chunk and data of the segment files in a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.seg").load(folder)
-    return files.select(segment_id_of(F.col("path")).alias("segment_id"), "content").where("segment_id IS NOT NULL")
+    rows = files.select(segment_id_of(F.col("path")).alias("segment_id"), "content").where("segment_id IS NOT NULL")
+    return _cut(rows, ["segment_id"], F.lit(0).cast("long"), "content", size).drop("at")
+
+
+class Parser:
+    """The good records of one file, whose bytes come in any pieces."""
+
+    def __init__(self) -> None:
+        self.held, self.at, self.bad = b"", 0, False
+
+    def feed(self, data: bytes) -> Iterator[tuple[int, int, int, int, int, int, bytes]]:
+        """(inode, stripe, seq, offset, length, payload offset, payload) of each record that is whole now, in order."""
+        self.held = self.held + data if self.held else data
+        begin = 0
+        while not self.bad and begin + HEADER_BYTES <= len(self.held):
+            magic, version, _, _, inode, stripe, seq, off, length = _HEADER.unpack_from(self.held, begin)
+            if magic != RECORD_MAGIC or version != RECORD_VERSION:
+                self.bad = True
+                break
+            end = begin + HEADER_BYTES + length
+            if end + TRAILER_BYTES > len(self.held):
+                break
+            if zlib.crc32(self.held[begin + 4 : end]) != int.from_bytes(self.held[end : end + TRAILER_BYTES], "little"):
+                self.bad = True
+                break
+            yield inode, stripe, seq, off, length, self.at + begin + HEADER_BYTES, self.held[begin + HEADER_BYTES : end]
+            begin = end + TRAILER_BYTES
+        self.at += begin
+        self.held = b"" if self.bad else self.held[begin:]
 
 
 def parse(content: bytes) -> Iterator[tuple[int, int, int, int, int, int, bytes]]:
-    """(inode, stripe, seq, offset, length, payload offset, payload) of each good record, in order."""
-    at = 0
-    while at + HEADER_BYTES <= len(content):
-        magic, version, _, _, inode, stripe, seq, off, length = _HEADER.unpack_from(content, at)
-        end = at + HEADER_BYTES + length
-        if magic != RECORD_MAGIC or version != RECORD_VERSION or end + TRAILER_BYTES > len(content):
-            return
-        if zlib.crc32(content[at + 4 : end]) != int.from_bytes(content[end : end + TRAILER_BYTES], "little"):
-            return
-        yield inode, stripe, seq, off, length, at + HEADER_BYTES, content[at + HEADER_BYTES : end]
-        at = end + TRAILER_BYTES
+    return Parser().feed(content)
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks in the order of segment and chunk -> records. A file whose chunks have a gap ends there."""
     kinds = [pa.int64()] * 7 + [pa.binary()]
     names = ["segment_id", "inode", "stripe_id", "seq", "logical_off", "length", "payload_off", "payload"]
+    segment, parser, due, rows = None, Parser(), 0, []
     for batch in batches:
-        for segment, content in zip(batch.column(0), batch.column(1)):
-            rows = []
-            for row in parse(content.as_py() or b""):
-                rows.append((segment.as_py(), *row))
+        for of, chunk, data in zip(*(c for c in batch.columns)):
+            if of.as_py() != segment:
+                segment, parser, due = of.as_py(), Parser(), 0
+            parser.bad |= chunk.as_py() != due
+            due += 1
+            for row in parser.feed(data.as_py() or b"") if not parser.bad else ():
+                rows.append((segment, *row))
                 if len(rows) == 1024:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                     rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def scan(segments: DataFrame) -> DataFrame:
-    """segment_id, content -> one row for each good record of the prefix before the first bad one."""
-    ship(segments.sparkSession)
-    return segments.select(F.col("segment_id").cast("long"), "content").mapInArrow(_scanned, RECORDS)
+def scan(chunks: DataFrame) -> DataFrame:
+    """segment_id, chunk, data -> one row for each good record of the prefix of a file before the first bad one."""
+    rows = chunks.select(F.col("segment_id").cast("long").alias("segment_id"), F.col("chunk").cast("long").alias("chunk"), "data")
+    return by_batch(rows.repartition("segment_id").sortWithinPartitions("segment_id", "chunk"), _scanned, RECORDS)
 
 
-def good_sizes(segments: DataFrame) -> DataFrame:
+def good_sizes(chunks: DataFrame) -> DataFrame:
     """segment_id, size and good_size, the offset at which a torn tail would be cut."""
-    ends = scan(segments).groupBy("segment_id").agg(F.max(F.col("payload_off") + F.col("length") + TRAILER_BYTES).alias("good_size"))
-    sizes = segments.select("segment_id", F.length("content").cast("long").alias("size"))
+    ends = scan(chunks).groupBy("segment_id").agg(F.max(F.col("payload_off") + F.col("length") + TRAILER_BYTES).alias("good_size"))
+    sizes = chunks.groupBy(F.col("segment_id").cast("long").alias("segment_id")).agg(F.sum(F.length("data")).cast("long").alias("size"))
     return sizes.join(ends, "segment_id", "left").select("segment_id", "size", F.coalesce("good_size", F.lit(0)).alias("good_size"))
 
 
+def repaired(chunks: DataFrame, size: int = SLICE_BYTES) -> DataFrame:
+    """The chunks without torn tails: the last is cut, those behind it go, a file without a good record has none."""
+    sizes = good_sizes(chunks).select("segment_id", "good_size")
+    left = F.col("good_size") - F.col("chunk") * size
+    kept = chunks.withColumn("segment_id", F.col("segment_id").cast("long")).join(sizes, "segment_id").where(left > 0)
+    return kept.withColumn("data", F.col("data").substr(F.lit(1), F.least(left, F.lit(size)).cast("int"))).select(*chunks.columns)
+
+
+def get(keys: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """keys with their records of table (its other columns) and `found`; null where there is none."""
+    return keys.join(table.withColumn("__found", F.lit(True)), on, "left").withColumn("found", F.coalesce("__found", F.lit(False))).drop("__found")
+
+
 def import_table(spark: SparkSession, source: str, target: str, columns: list[str]) -> bool:
     """Copy a legacy table's columns to a new place once: nothing to do without a source, an error if the target exists."""
     try:
