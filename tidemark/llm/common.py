@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidemark.plans.groups import grouped
-from tidemark.session import settle, ship
+from tidemark.plans.groups import by_batch, grouped
+from tidemark.session import settle
 
 #: What separates words; a word is a run of ASCII letters and digits and of anything beyond ASCII.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,12 +50,6 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NO_WORD), "")
 
 
-def by_batch(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """mapInArrow, with this package at hand."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
-
-
 def by_group(df: DataFrame, n_keys: int, run: Callable, schema: str) -> DataFrame:
     """run on the rows of each key (the first n_keys columns) as one Arrow batch, which gives a batch or None."""
 
