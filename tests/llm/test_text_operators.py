@@ -161,6 +161,17 @@ def test_decontamination_against_sql(spark, by_sql, rows_of, monkeypatch):
     assert decontam.contained(table(spark, docs), bench.limit(0)).count() == 0 and decontam.contained(table(spark, docs).limit(0), bench).count() == 0
 
 
+def test_shared_shingles_make_no_candidates(spark):
+    """Items that share a fifth of their words: a document of those words alone is verified for none of them, and texts of one
+    item_id each count."""
+    head = " ".join(f"h{i}" for i in range(10))
+    items = [(k, head + " " + " ".join(f"i{k}w{j}" for j in range(40))) for k in range(30)] + [(99, " ".join(f"t{k}w{j}" for j in range(30))) for k in range(6)]
+    docs = [(1, "before " + head + " after", "s"), (2, items[7][1] + " more", "s"), *((10 + k, items[30 + k][1], "s") for k in range(6))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contained(table(spark, docs), bench)
+    assert sorted((r.doc_id, r.item_id, r.containment) for r in got.collect()) == [(2, 7, 1.0), *((10 + k, 99, 1.0) for k in range(6))]
+
+
 def brute_groups(rows, width):
     """(row number) -> (set size, component) by comparing all pairs."""
     sets = []

@@ -20,14 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 cut = settle
 
 
-#: What is broadcast has at most so many rows of a few numbers, as counted.
+#: What is broadcast has at most so many rows of a few numbers, as counted; an array counts by its elements.
 BROADCAST_ROWS = 500_000
 
 
-def bounded(df: DataFrame, tag: str) -> DataFrame:
-    """df cut, and marked for broadcast if it has no more than BROADCAST_ROWS rows, so that what it joins isn't shuffled."""
+def bounded(df: DataFrame, tag: str, array: str | None = None) -> DataFrame:
+    """df cut, and marked for broadcast if it counts no more than BROADCAST_ROWS, so that what it joins isn't shuffled."""
     df = cut(df, tag)
-    if df.count() > BROADCAST_ROWS:
+    n = df.count() if array is None else df.agg(F.sum(F.size(array) + 1)).first()[0] or 0
+    if n > BROADCAST_ROWS:
         return df
     out = F.broadcast(df)
     out._tidemark_path = df._tidemark_path

@@ -3,9 +3,9 @@
 An item's MinHash signature is a sample of its own shingles (the least under each of n_perms hashes), so the share of the
 signature that a document holds estimates how much of the item it contains, whatever the document's length. Items are
 partitioned by size: those of fewer words than a shingle are shingled at their own width, and a document is looked up only
-for items that its number of shingles can contain. A document that holds any signature shingle of an item is a candidate;
-candidates are verified on the full sets. At a threshold of 0.8, an item is overlooked with a chance of 0.2 ** n_perms.
-Native expressions only. The index has n_perms rows an item at most; it, and the candidate pairs, are broadcast only if
+for items that its number of shingles can contain. A document that holds a quarter of an item's distinct signature shingles
+is a candidate, so one shingle that many items share makes none; candidates are verified on the full sets, all items of a
+document at once. At a threshold of 0.8 an item is overlooked with a chance of three in ten million. Native expressions only. The index has n_perms rows an item at most; it, and the candidate pairs, are broadcast only if
 counted below BROADCAST_ROWS, and joined by a shuffle beyond.
 
 Defined results: null and empty texts and items without words match nothing; several rows of one doc_id count as one
@@ -17,9 +17,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded, word_array
+from .common import BROADCAST_ROWS, bounded, cut, word_array
 
 WIDTH, THRESHOLD, N_PERMS = 5, 0.8, 16
+#: A candidate holds at least one in so many of an item's signature shingles.
+LEAST_OF = 4
 
 
 def _shingle(words: str, at: str, width: int) -> Column:
@@ -48,18 +50,23 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
 
 def _at_width(docs: DataFrame, items: DataFrame, width: int, threshold: float, n_perms: int) -> DataFrame:
     sets = items.select("item_id", _shingles("item_words", width).alias("item_set"))
-    each = sets.select("item_id", F.size("item_set").alias("m"), F.explode("item_set").alias("s"))
-    signature = each.groupBy("item_id", "m").agg(F.array_distinct(F.array(*(F.min_by("s", F.xxhash64("s", F.lit(k))) for k in range(n_perms)))).alias("signature"))
-    index = bounded(signature.select("item_id", "m", F.explode("signature").alias("s")), "index")
+    least = (F.expr(f"array_min(transform(item_set, s -> struct(xxhash64(s, {k}) AS h, s AS s))).s") for k in range(n_perms))
+    signature = sets.select("item_id", F.size("item_set").alias("m"), F.array_distinct(F.array(*least)).alias("signature"))
+    need = F.ceil(F.size("signature") / LEAST_OF).cast("int")
+    index = bounded(signature.select("item_id", "m", need.alias("need"), F.explode("signature").alias("s")), "index")
     n = F.size("words") - (width - 1)
     words = docs.select("doc_id", word_array(F.col("text")).alias("words"))
     probes = words.where(n > 0).select("doc_id", n.alias("n"), "words", F.posexplode("words").alias("at", "word")).where(F.col("at") < F.col("n"))
     probes = probes.select("doc_id", "n", _shingle("words", "at", width).alias("s"))
-    candidates = probes.join(index, "s").where(F.col("n") >= threshold * F.col("m")).select("doc_id", "item_id").distinct()
-    candidates = bounded(candidates, "candidates")
-    pairs = docs.alias("d").join(candidates.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))).select("d.doc_id", "item_id", "text")
-    pairs = pairs.select("doc_id", "item_id", word_array(F.col("text")).alias("words")).join(sets, "item_id")
-    pairs = pairs.select("doc_id", "item_id", "item_set", _shingles("words", width).alias("doc_set"))
+    hits = probes.join(index, "s").where(F.col("n") >= threshold * F.col("m")).select("doc_id", "item_id", "need", "s").distinct()
+    candidates = cut(hits.groupBy("doc_id", "item_id", "need").agg(F.count(F.lit(1)).alias("hits")).where("hits >= need").select("doc_id", "item_id"), "candidates")
+    few = candidates.count() <= BROADCAST_ROWS
+    by_doc = candidates.groupBy("doc_id").agg(F.collect_list("item_id").alias("item_ids"))  # at most all items
+    by_doc = F.broadcast(by_doc) if few else by_doc
+    found = docs.alias("d").join(by_doc.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))).select("d.doc_id", "item_ids", word_array(F.col("text")).alias("words"))
+    # A text is split and shingled once, below the rows of its items.
+    pairs = found.select("doc_id", "item_ids", _shingles("words", width).alias("doc_set")).select("doc_id", "doc_set", F.explode("item_ids").alias("item_id"))
+    pairs = pairs.join(bounded(sets, "item-sets", "item_set"), "item_id")
     shared = F.size(F.array_intersect("item_set", "doc_set")).cast("long")
     pairs = pairs.select("doc_id", "item_id", F.size("item_set").cast("long").alias("n_item_shingles"), shared.alias("n_shared"))
     return pairs.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles")).where(F.col("n_shared") >= threshold * F.col("n_item_shingles"))
