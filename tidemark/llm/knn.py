@@ -1,9 +1,10 @@
 r"""Exact top-k search by inner product as a Voronoi kNN join.
 
-Equal vectors are collapsed first (each keeps its k + 1 smallest ids, all that any query can need), queries likewise.
-PIVOTS vectors, drawn by a hash, divide the data into cells and the queries into groups by the nearest pivot. From summaries
+Equal vectors are collapsed first, queries likewise. Of what follows k' is k and the most rows that an asking id has (one, where
+ids are unique): that many are enough, whichever of them a query has to leave out as its own. A vector keeps its k' smallest
+ids. Pivots, drawn by a hash, half the root of the number of vectors but PIVOTS at least and MOST_PIVOTS at most, divide the data into cells and the queries into groups by the nearest pivot. From summaries
 of the cells (size, radius, greatest norm, and the exact scores of the pivots, which are data too) come two bounds for a
-group g with pivot p and radius r: a threshold that the (k + 1)-th score of each of its queries surely reaches, and for each
+group g with pivot p and radius r: a threshold that the k'-th score of each of its queries surely reaches, and for each
 vector x at most p.x + r |x|. Only vectors whose bound reaches the group's threshold are sent to it. Neighbouring groups share
 a bin of up to BLOCK queries, to which a vector goes once if it matters to any of them: where distances don't tell vectors
 apart, and so no bound prunes, the data is sent as often as there are blocks of queries, not once a group. Bins are solved
@@ -17,6 +18,7 @@ are vectors of their own, each a query, but no query finds its own id; a query w
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from tidemark.session import ship
 
 from .common import by_batch, cut
 
-PIVOTS, BLOCK, SHARE = 48, 2048, 8_000
+PIVOTS, MOST_PIVOTS, BLOCK, SHARE = 48, 2048, 2048, 8_000
 
 
 def usable(vector: str) -> Column:
@@ -133,7 +135,7 @@ def _solved(k: int):
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, pivots: int = PIVOTS) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, pivots: int | None = None) -> DataFrame:
     """query_id, rank (from 1), id_col, score: the k highest inner products of each query with rows of other ids.
 
     A component x counts as floor(scale * x), x taken as double.
@@ -150,20 +152,23 @@ def search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     return out.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
-def _of_length(rows: DataFrame, dim: int, k: int, n_pivots: int) -> DataFrame:
+def _of_length(rows: DataFrame, dim: int, k: int, n_pivots: int | None) -> DataFrame:
+    asking = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asks")).where("asks")
+    enough = k + (asking.agg(F.max("n")).first()[0] or 1)
     # A limit on row_number is applied in each task before the shuffle, so one very common vector is no hot key.
     first = Window.partitionBy("v").orderBy("id")
-    least = rows.select("v", "id").distinct().withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)
+    least = rows.select("v", "id").distinct().withColumn("at", F.row_number().over(first)).where(F.col("at") <= enough)
     data = cut(least.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "distinct-vectors")
+    n_pivots = n_pivots or min(MOST_PIVOTS, max(PIVOTS, math.isqrt(data.count()) // 2))
     if dim == 0:
         drawn = [[]]
     else:
         drawn = [r["v"] for r in data.orderBy(F.xxhash64("v"), "v").limit(n_pivots).select("v").collect()]
     centers = np.array(drawn, float).reshape(len(drawn), dim)
     asked = rows.where("asks").select("v").distinct()
-    queries = cut(by_batch(asked, _placed(centers, k + 1), "v array<bigint>, cell int, far double, low double"), "queries")
+    queries = cut(by_batch(asked, _placed(centers, enough), "v array<bigint>, cell int, far double, low double"), "queries")
     # Of each group: its radius, and the least of its queries' thresholds. The pivots are distinct vectors of the data, so a
-    # query's (k + 1)-th score against them bounds its k-th against all others from below.
+    # query's k'-th score against them bounds its k-th against all others from below.
     radius, threshold, size = np.zeros(len(centers)), np.full(len(centers), np.inf), np.zeros(len(centers), int)
     for r in queries.groupBy("cell").agg(F.max("far").alias("r"), F.min("low").alias("low"), F.count(F.lit(1)).alias("n")).collect():
         radius[r["cell"]], threshold[r["cell"]], size[r["cell"]] = r["r"], r["low"] - _SLACK * (abs(r["low"]) + 1), r["n"]
@@ -176,7 +181,7 @@ def _of_length(rows: DataFrame, dim: int, k: int, n_pivots: int) -> DataFrame:
     q = queries.select("v", of(bins, "cell").alias("bin")).withColumn("block", F.pmod(F.xxhash64("v"), of(blocks, "bin")).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), of(salts, "bin") - 1)))
     x = sent.withColumn("salt", F.pmod(F.xxhash64("v", F.lit("salt")), of(salts, "bin")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), of(blocks, "bin") - 1)))
     ship(rows.sparkSession)
-    best = q.groupBy("bin", "block", "salt").cogroup(x.groupBy("bin", "block", "salt")).applyInPandas(_solved(k + 1), "v array<bigint>, score string, id long")
+    best = q.groupBy("bin", "block", "salt").cogroup(x.groupBy("bin", "block", "salt")).applyInPandas(_solved(enough), "v array<bigint>, score string, id long")
     asks = rows.where("asks").select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
     pairs = asks.join(best, F.col("qv") == F.col("v")).where("query_id <> id").select("query_id", "id", F.col("score").cast("decimal(38,0)").alias("score")).distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
