@@ -106,6 +106,28 @@ def test_salvage(zipped):
     assert list(warc.salvage(b"")) == []
 
 
+def test_member_of_several_records_that_is_cut_off():
+    """The records before the file's end are recovered; a member that is damaged inside is quarantined whole."""
+    rng = random.Random(4)
+    body = b"".join(warc.make_record(k, f"http://x/{k}", bytes(rng.randrange(256) for _ in range(3000)), None) + b"\r\n\r\n" for k in range(4))
+    whole, first = gzip.compress(body), gzip.compress(members(1)[0])
+    found = list(warc.salvage(first + whole[: len(whole) * 5 // 8]))
+    assert [f["warc-target-uri"] for *_, f, _ in found if f is not None] == ["http://h/0", "http://x/0", "http://x/1"]
+    assert sum(n for _, n, *_ in found) == len(first) + len(whole) * 5 // 8 and found[-1][2] is None
+    hurt = bytearray(whole)
+    hurt[len(whole) * 5 // 8] ^= 255
+    assert [f for *_, f, _ in warc.salvage(bytes(hurt) + first) if f is not None][0]["warc-target-uri"] == "http://h/0"
+
+
+def test_repeated_ids_leave_k_others(spark):
+    """An asking id with several vectors near the top still gets k rows of other ids."""
+    rows = [(0, [1.0, k / 8]) for k in range(6)] + [(k, [0.5, k / 16]) for k in range(1, 9)]
+    got = knn.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, k=5)
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    best = sorted({(-sum(a * b for a, b in zip(q, x)), i) for k, q in whole if k == 0 for i, x in whole if i != 0})[:5]
+    assert [(r.rank, r.vec_id, r.score) for r in got.sort("rank").collect()] == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+
+
 def test_salvage_random_damage():
     rng, parts = random.Random(2), members(20)
     for _ in range(60):

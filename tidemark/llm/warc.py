@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.session import scratch
 
-from .common import bounded, by_batch
+from .common import bounded, by_batch, cut
 
 REVISIT_BYTES, FILE_BYTES = 1000, 16 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -126,8 +126,25 @@ def _member(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], i
     return records, len(data) - len(z.unused_data)
 
 
+def _remains(data: bytes, at: int) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records that pass in a gzip member that the file's end cuts off. What is damaged otherwise isn't trusted: bytes
+    inflated before the damage shows may be wrong, and a block's digest says nothing of its header."""
+    z = zlib.decompressobj(31)
+    try:
+        inner = z.decompress(memoryview(data)[at:])
+    except zlib.error:
+        return
+    k = 0
+    while not z.eof and (got := _plain(inner, k)):
+        yield got[:2]
+        k = got[2]
+
+
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
-    """(offset, length, header, block) of each record in order; a quarantined gap has no header and its bytes as block."""
+    """(offset, length, header, block) of each record in order; a quarantined gap has no header and its bytes as block.
+
+    What passes in a gzip member that is cut off is recovered, with a length of 0 since the member's bytes are quarantined too.
+    """
     at, gap = 0, None
     while at < len(data):
         if data[at : at + 3] == b"\x1f\x8b\x08":
@@ -137,6 +154,9 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
             one = _plain(data, at)
             records, end, got = ([one[:2]], one[2], one) if one else ([], at, None)
         if got is None:
+            if data[at : at + 3] == b"\x1f\x8b\x08":
+                for fields, block in _remains(data, at):
+                    yield at, 0, fields, block
             gap = at if gap is None else gap
             following = _START.search(data, at + 1)
             at = following.start() if following else len(data)
@@ -198,7 +218,11 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
 
 
 def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
-    """pages written to archives in the shared folder and read back."""
+    """pages written to archives in the shared folder and read back: a record for each, or an error."""
     path = scratch(pages.sparkSession, "warc")
     write(pages, path, **columns)
-    return read(pages.sparkSession, path)
+    found = cut(read(pages.sparkSession, path), "records")
+    records, rows = found.where("record_type <> 'quarantined'").count(), pages.count()
+    if records != rows:
+        raise RuntimeError(f"{rows} pages were written and {records} records read back from {path}")
+    return found
