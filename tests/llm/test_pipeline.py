@@ -87,3 +87,19 @@ def test_copies_are_left_to_near_dedup(spark):
     assert all(not r.text.startswith("menu") for r in cleaned.where("doc_id % 3 <> 0").collect())
     left = {r.doc_id: r.text for r in P.near_dedup(spark, cleaned, SF).collect()}
     assert set(left) == {0} | {k for k in range(60) if k % 3} and left[0] == copy
+
+
+def test_clashing_columns_nulls_and_repeated_rows(spark, tmp_path):
+    """Columns called like the stages' own, null and empty texts, a null source, repeated rows and rows without an id."""
+    words = [f"the word{k} of and" for k in range(60)]
+    rows = [(k, " ".join(words[k % 50 : k % 50 + 8]), "en" if k % 2 else "fr", "s" if k % 3 else None, 1) for k in range(60)]
+    rows += [(70, None, "en", "s", None), (71, "", None, "s", 0), (3, rows[3][1], "en", "s", 1), (None, "no id at all here but words", "en", "s", 1)]
+    names = ["score", "lang_pred", "rate", "posterior", "n_tokens", "kept", "component_id", "line", "words", "item_id", "id"]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    columns = docs.columns
+    for k, (_, stage) in enumerate(P.STAGES):
+        docs = settled(stage(spark, docs, SF), tmp_path / f"clash{k}")
+        assert len(set(docs.columns)) == len(docs.columns) and (docs.columns == columns or k == len(P.STAGES) - 1)
+    left = docs.collect()
+    assert {70, 71}.isdisjoint({r.doc_id for r in left}) and any(r.doc_id is None for r in left)
+    assert docs.schema["rate"].dataType.simpleString() == "double" and all(r.score == 0 and r.id == 10 for r in left)
