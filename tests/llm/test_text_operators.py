@@ -29,14 +29,14 @@ def ascii_lower(text):
 
 def brute_license(text):
     w = WORD.findall(ascii_lower(text))
-    places, labels = [], set()
+    spots, labels = [], set()
     for t in L.BASE:
         k = t.words
         for i in range(len(w) - len(k) + 1):
             if w[i : i + len(k)] == k:
-                places.append(i)
+                spots.append(i)
                 labels.add(t.label)
-    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+    return len(w), len(spots), min(spots, default=None), max(spots, default=None), ",".join(sorted(labels))
 
 
 LICENSE_TEXTS = [
@@ -71,7 +71,7 @@ FULL = [
 
 
 def brute_labels(texts):
-    """labels and score of each text, by trying every place of every template."""
+    """labels and score of each text, by trying every spot of every template."""
     split = [WORD.findall(ascii_lower(t)) for t in texts]
     idf = {"": -1.0}
     for t in (*L.BASE, *L.NOTICES):
@@ -107,7 +107,7 @@ def test_license_texts_against_brute_force(spark):
 
 
 def test_license_scan_is_linear(spark):
-    """Places of a key phrase, and of a long template's, by the hundred thousand."""
+    """Spots of a key phrase, and of a long template's, by the hundred thousand."""
     took = []
     for n in (5_000, 200_000):
         text = "cc by " * n + "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files " * (n // 40)

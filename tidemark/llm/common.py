@@ -40,9 +40,9 @@ def drawn(rows: DataFrame, counts: DataFrame, by: str, quota: int, seed: str) ->
 
     The rank within a class is only taken among the first 1.25 times quota or so of its hashes, so no task sorts a class.
     """
-    place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
-    few = rows.join(counts, by).where(place * F.col("n") < (1.25 * quota + 20) * float(1 << 30))
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(place, "id"))
+    spot = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
+    few = rows.join(counts, by).where(spot * F.col("n") < (1.25 * quota + 20) * float(1 << 30))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(spot, "id"))
     return few.withColumn("rank", rank).where(F.col("rank") <= quota).select(*rows.columns)
 
 

@@ -153,11 +153,11 @@ def lines_of(html: str) -> list[Line]:
         if not name:
             continue
         if m[0][1] == "/":
-            places = is_open.at[name]
+            spots = is_open.at[name]
             if name not in INLINE:
                 end_line()
-            if places and not (name in INLINE and is_open.blocks and is_open.blocks[-1] > places[-1]):
-                k = places[-1]
+            if spots and not (name in INLINE and is_open.blocks and is_open.blocks[-1] > spots[-1]):
+                k = spots[-1]
                 if is_open.stack[k][1] and not (k and is_open.stack[k - 1][1]):
                     lines.extend([Line("", 0, 0, -1)] * WINDOW)
                 is_open.cut(k)

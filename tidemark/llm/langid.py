@@ -46,7 +46,7 @@ def encode(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Network:
     """A gated recurrent unit each way (gates z, r and the candidate side by side) and a softmax on both states.
 
-    Inside, arrays have the bytes' places first, then features or languages, then the runs.
+    Inside, arrays have the bytes' spots first, then features or languages, then the runs.
     """
 
     languages: list[str]
@@ -164,10 +164,10 @@ class Network:
         order = np.argsort(high - low, kind="stable")
         for k in range(0, len(order), _ROWS):
             at = order[k : k + _ROWS]
-            place = low[at][:, None] + np.arange((high[at] - low[at]).max())
-            mask = place < high[at][:, None]
-            states = self.states(np.where(mask, flat[np.minimum(place, len(flat) - 1)], _PAD), mask)
-            counted = np.ascontiguousarray(((place >= core[at][:, None]) & (place < core_end[at][:, None])).T, np.float32)
+            spot = low[at][:, None] + np.arange((high[at] - low[at]).max())
+            mask = spot < high[at][:, None]
+            states = self.states(np.where(mask, flat[np.minimum(spot, len(flat) - 1)], _PAD), mask)
+            counted = np.ascontiguousarray(((spot >= core[at][:, None]) & (spot < core_end[at][:, None])).T, np.float32)
             sums = np.zeros((len(at), 2 * n + 1))
             sums[:, -1] = counted.sum(axis=0)
             per = max(1, _CELLS // (n * len(at)))

@@ -1,13 +1,13 @@
 r"""License scan over a positional rare-token index.
 
 Every template is a licence text with a mandatory key phrase. The inverse document frequencies of the templates' words come
-from the whole corpus. A file is looked up by the rarest word of each key phrase: only the places of those words are indexed,
-and a place counts once all words of the key phrase stand where they must. Around such a place the template is compared by
+from the whole corpus. A file is looked up by the rarest word of each key phrase: only the spots of those words are indexed,
+and a spot counts once all words of the key phrase stand where they must. Around such a spot the template is compared by
 relative position, in pieces of PIECE words: a piece is looked for by either of its two rarest words within DRIFT words of
-where it should stand, so line breaks, copyright lines and small edits shift a piece without losing the rest. A place's score is the
-share of the template's information (the sum of its words' frequencies' logarithms) that stands in place; a notice needs
+where it should stand, so line breaks, copyright lines and small edits shift a piece without losing the rest. The score of a spot is the
+share of the template's information (the sum of its words' frequencies' logarithms) that stands right; a notice needs
 MIN_SHARE. Native expressions only; every comparison reads one word of the file by its number, so time is linear in the file
-and in the places of its key phrases. No row leaves its partition but for the counts.
+and in the spots of its key phrases. No row leaves its partition but for the counts.
 
 Lower-casing goes beyond A-Z, which can't change a match of a base phrase: no letter outside ASCII becomes one of its letters.
 
@@ -48,7 +48,7 @@ class Template:
         return next(i for i in range(len(self.words)) if self.words[i : i + len(k)] == k)
 
 
-#: The phrases whose every place is reported.
+#: The phrases whose every spot is reported.
 BASE = (
     Template("cc-by", "cc by", "cc by"),
     Template("gpl", "general public license", "general public license"),
@@ -89,7 +89,7 @@ distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""
 _GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License
 as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."""
 
-#: A place needs the key phrase and MIN_SHARE of the template's information; several templates may have one label.
+#: A spot needs the key phrase and MIN_SHARE of the template's information; several templates may have one label.
 NOTICES = (
     Template("mit", _MIT, "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     Template("mit", "released under the mit license", "mit license"),
@@ -130,7 +130,7 @@ def _anchor(words: list[str], idf: dict[str, float]) -> int:
 
 
 def second(words: list[str], idf: dict[str, float]) -> int:
-    """The place of the rarest word but one; that of the rarest if there is no other."""
+    """The spot of the rarest word but one; that of the rarest if there is no other."""
     a = _anchor(words, idf)
     return max((j for j in range(len(words)) if words[j] != words[a]), key=lambda j: (idf[words[j]], -j), default=a)
 
@@ -140,7 +140,7 @@ def _starts(template: Template, idf: dict[str, float]) -> str:
     key = template.key_words
     a = _anchor(key, idf)
     found = " AND ".join(f"get(words, i + {j - a}) = '{w}'" for j, w in sorted(enumerate(key), key=lambda x: x[0] != a))
-    return f"transform(filter(places, i -> {found}), i -> i - {template.key_at + a})"
+    return f"transform(filter(spots, i -> {found}), i -> i - {template.key_at + a})"
 
 
 def pieces(template: Template) -> list[tuple[int, list[str]]]:
@@ -151,7 +151,7 @@ def pieces(template: Template) -> list[tuple[int, list[str]]]:
 
 
 def _share(template: Template, idf: dict[str, float], at: str) -> str:
-    """What of the template's information stands in place around the start."""
+    """What of the template's information stands right around the start."""
     parts = []
     for begin, words in pieces(template):
         a = _anchor(words, idf)
@@ -181,10 +181,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     idf = _frequencies(words, vocabulary)
 
     anchors = ", ".join(f"'{w}'" for w in sorted({t.key_words[_anchor(t.key_words, idf)] for _, t in every}))
-    places = F.expr(f"CASE WHEN size(words) = 0 THEN cast(array() AS array<int>) ELSE filter(sequence(0, size(words) - 1), i -> words[i] IN ({anchors})) END")
-    found = words.select(id_col, "words", F.size("words").cast("long").alias("n_words"), places.alias("places"))
+    spots = F.expr(f"CASE WHEN size(words) = 0 THEN cast(array() AS array<int>) ELSE filter(sequence(0, size(words) - 1), i -> words[i] IN ({anchors})) END")
+    found = words.select(id_col, "words", F.size("words").cast("long").alias("n_words"), spots.alias("spots"))
     found = found.select("*", *(F.expr(_starts(t, idf)).alias(f"k{k}") for k, t in every))
-    # The shares of information at each place; a notice needs min_share of its own.
+    # The shares of information at each spot; a notice needs min_share of its own.
     found = found.select("*", *(F.expr(f"filter(transform(k{k}, s -> {_share(t, idf, 's')}), x -> x >= {min_share!r}D)").alias(f"x{k}") for k, t in every[n:]))
 
     def joined(kinds: list[tuple[int, Template]]) -> Column:

@@ -92,7 +92,7 @@ def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
 
 
 def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    """The record at this place and where it ends; None if a check fails."""
+    """The record at this spot and where it ends; None if a check fails."""
     if not (found := _header(data, at)):
         return None
     fields, begin = found
@@ -109,7 +109,7 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
 
 
 def _member(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int] | None:
-    """The records of the gzip member at this place; None unless it is whole and all of them pass."""
+    """The records of the gzip member at this spot; None unless it is whole and all of them pass."""
     z = zlib.decompressobj(31)
     try:
         inner = z.decompress(memoryview(data)[at:])
