@@ -2,7 +2,7 @@
 
 Both exchange their input once, by (inode, stripe) or (read, stripe), sort it within partitions, and sweep it in one pass over
 Arrow batches that carries its state from row to row: n log n for a key with any number of versions, and no more memory than
-the versions that cover one place. Pieces never cross a stripe, so a large or hot inode, or a long read, is spread over its
+the versions that cover one spot. Pieces never cross a stripe, so a large or hot inode, or a long read, is spread over its
 stripes; what a read's slices continue across a border is joined up from the slices at borders alone.
 """
 
@@ -185,8 +185,8 @@ def read_slices(plan: DataFrame, chunks: DataFrame, size: int = SLICE_BYTES) ->
     stored = stored.select("read_id", (F.col("logical_off") + low - F.col("segment_offset")).alias("offset"), (low - F.col("chunk") * size + 1).cast("int").alias("from"), (high - low).cast("int").alias("n"), "tier", "segment_id", "chunk")
     c = chunks.select("tier", "segment_id", F.col("chunk").cast("long").alias("chunk"), F.col("data").alias("content"))
     joined = stored.join(c, ["tier", "segment_id", "chunk"], "left")
-    place = F.concat(F.lit("missing segment "), F.col("segment_id").cast("string"), F.lit(", chunk "), F.col("chunk").cast("string"))
-    missing = F.raise_error(place).cast("binary")
+    spot = F.concat(F.lit("missing segment "), F.col("segment_id").cast("string"), F.lit(", chunk "), F.col("chunk").cast("string"))
+    missing = F.raise_error(spot).cast("binary")
     data = F.when(F.col("content").isNull(), missing).otherwise(F.expr("substring(content, from, n)"))
     holes = plan.where("sparse").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))))
     zeros = F.expr(f"CAST(repeat('\\0', CAST(least({size}, length - k * {size}) AS INT)) AS BINARY)")

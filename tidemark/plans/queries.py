@@ -478,7 +478,7 @@ def link_nodes(spark, d):
 
 
 def _renamed(spark, d):
-    """Even customers move to the first region; of the odd ones every third takes the place of a file of another parent, every
+    """Even customers move to the first region; of the odd ones every third replaces a file of another parent, every
     third asks what is refused, and the rest ask twice for one source. Regions and nations can't go below themselves, and a
     nation moves to another region."""
     e = V.dirents(spark, d)

@@ -78,7 +78,7 @@ def _cut(rows: DataFrame, keys: list[str], start, data: str, size: int) -> DataF
 
 
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces in the order of tier, segment, chunk and place -> chunks."""
+    """Pieces in the order of tier, segment, chunk and spot -> chunks."""
     names, key, held = ["tier", "segment_id", "chunk", "data"], None, []
 
     def chunk() -> pa.RecordBatch:
@@ -233,7 +233,7 @@ def get(keys: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
 
 
 def import_table(spark: SparkSession, source: str, target: str, columns: list[str]) -> bool:
-    """Copy a legacy table's columns to a new place once: nothing to do without a source, an error if the target exists."""
+    """Copy a legacy table's columns to a new spot once: nothing to do without a source, an error if the target exists."""
     try:
         rows = spark.read.parquet(source)
     except Exception as error:
