@@ -116,6 +116,15 @@ def test_mover_loop():
     assert waits == [30, 30, 60, 100, 100, 30]
 
 
+def test_mover_samples(spark):
+    from tidemark.operators import telemetry as T
+
+    runs = spark.createDataFrame([(10, False, 1, 1, 2, 0, 500, 7, 3), (20, True, 1, 0, 0, 1, 0, 0, 0), (30, True, 1, 0, 0, 1, 0, 0, 0)], "tick_s long, failed boolean, evicts long, gcs long, moves_ok long, moves_failed long, bytes_moved long, move_nanos long, gc_nanos long")
+    text = {r.name: r.text for r in T.metrics_text(T.mover_samples(M.mover_summary(runs))).collect()}
+    assert len(text) == 10 and text["tidemark_mover_consecutive_errors"].endswith("gauge\ntidemark_mover_consecutive_errors 2\n")
+    assert text["tidemark_mover_bytes_moved"].endswith("tidemark_mover_bytes_moved 500\n") and text["tidemark_mover_last_error_s"].endswith(" 30\n")
+
+
 def test_evict_and_gc(spark):
     stripes = spark.createDataFrame([(1, k, 10, 0, 10) for k in range(4)], "inode long, stripe_id long, hot_bytes long, cold_bytes long, live_bytes long")
     assert M.evict_candidates(stripes, 20, 10, 9).count() == 3

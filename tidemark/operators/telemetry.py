@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.scalars import number
+from tidemark.functions.scalars import number, tier_name
 
 
 def op_stats(log: DataFrame) -> DataFrame:
@@ -44,3 +44,23 @@ def op_samples(stats: DataFrame, prefix: str = "tidemark") -> DataFrame:
     kinds = (("calls_total", "Calls by operation.", F.col("calls").cast("double")), ("errors_total", "Failed calls by operation.", F.col("errors").cast("double")), ("duration_seconds_total", "Total time by operation.", F.col("duration_nanos") / 1e9))
     three = F.array(*(F.struct(F.lit(f"{prefix}_op_{n}").alias("name"), F.lit(h).alias("help"), v.alias("value")) for n, h, v in kinds))
     return stats.select(labels.alias("labels"), F.explode(three).alias("m")).select(F.lit("counter").alias("kind"), "m.name", "m.help", "labels", "m.value")
+
+
+def _one_row_samples(row: DataFrame, prefix: str, names: dict[str, tuple[str, str]]) -> DataFrame:
+    """A sample without labels for each of names (column -> kind, help) of a table of one row."""
+    each = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(f"{prefix}_{c}").alias("name"), F.lit(text).alias("help"), F.lit("").alias("labels"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for c, (kind, text) in names.items()))
+    return row.select(F.explode(each).alias("m")).select("m.*")
+
+
+def mover_samples(summary: DataFrame, prefix: str = "tidemark_mover") -> DataFrame:
+    """Samples of maintenance.mover_summary."""
+    counters = {"evicts": "Evict passes.", "gcs": "Collection passes.", "moves_ok": "Moves that worked.", "moves_failed": "Moves that failed.", "bytes_moved": "Bytes moved.", "move_nanos": "Time spent moving.", "gc_nanos": "Time spent collecting."}
+    gauges = {"consecutive_errors": "Failing passes in a row.", "last_tick_s": "When the mover last ran.", "last_error_s": "When the mover last failed."}
+    return _one_row_samples(summary, prefix, {k: ("counter", v) for k, v in counters.items()} | {k: ("gauge", v) for k, v in gauges.items()})
+
+
+def segment_samples(usage: DataFrame, prefix: str = "tidemark") -> DataFrame:
+    """Samples of maintenance.segment_usage: files and bytes by tier."""
+    labels = F.concat(F.lit('tier="'), tier_name(F.col("tier")), F.lit('"'))
+    both = F.array(*(F.struct(F.lit(f"{prefix}_segment_{c}").alias("name"), F.lit(h).alias("help"), F.col(v).cast("double").alias("value")) for c, h, v in (("count", "Segments by tier.", "segments"), ("bytes", "Bytes in segments by tier.", "bytes"))))
+    return usage.select(labels.alias("labels"), F.explode(both).alias("m")).select(F.lit("gauge").alias("kind"), "m.name", "m.help", "labels", "m.value")

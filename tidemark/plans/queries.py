@@ -602,6 +602,16 @@ def metrics_text(spark, d):
     return T.metrics_text(T.op_samples(T.op_stats(V.op_log(spark, d))))
 
 
+@query(
+    """, usage AS (SELECT CASE tier WHEN 1 THEN 'hot' ELSE 'cold' END AS tier, count(*)::DOUBLE AS n, sum(size)::DOUBLE AS b FROM segments GROUP BY tier),
+samples AS (SELECT 'tidemark_segment_count' AS name, 'Segments by tier.' AS help, tier, n AS v FROM usage UNION ALL SELECT 'tidemark_segment_bytes', 'Bytes in segments by tier.', tier, b FROM usage)
+SELECT name, '# HELP ' || name || ' ' || any_value(help) || chr(10) || '# TYPE ' || name || ' gauge' || chr(10) || string_agg(name || '{tier="' || tier || '"} ' || regexp_replace(v::VARCHAR, '[.]0$', ''), chr(10) ORDER BY tier) || chr(10) AS text
+FROM samples GROUP BY name"""
+)
+def metrics_segments(spark, d):
+    return T.metrics_text(T.segment_samples(M.segment_usage(V.segments(spark, d))))
+
+
 # --- scalars ---------------------------------------------------------------------------------------------------------
 
 
@@ -775,3 +785,16 @@ def stream_windows(spark, d):
     counts = L.windowed_counts(_stream(spark, d)).select(F.unix_timestamp("w.start").alias("start"), "event_type", "events")
     counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{store}/data")
+
+
+@query("SELECT 1000 + user_id AS inode, max(event_id * 7919 % 65536 + 1) AS live_size, max(event_id * 1000000000) AS live_mtime_ns FROM events GROUP BY user_id", views=False)
+def stream_live(spark, d):
+    """Live attributes kept over a stream of writes, a row an inode."""
+    store = scratch(spark, "live")
+    pending = _stream(spark, d).select((1000 + F.col("user_id")).alias("inode"), (F.col("event_id") * 7919 % 65536).alias("logical_off"), F.lit(1).alias("length"), (F.col("event_id") * 1_000_000_000).alias("mtime_ns"))
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store}/data")
+
+    L.live_attributes(pending).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{store}/data")
