@@ -173,6 +173,20 @@ def test_segments(spark, tmp_path):
     assert not G.import_table(spark, str(tmp_path / "none"), str(tmp_path / "out"), ["seq"])
 
 
+def test_legacy_import(spark, tmp_path):
+    rows = spark.createDataFrame([("nodes", bytearray(8), bytearray(b"v")), ("other", bytearray(1), bytearray(b"w"))], "bucket string, key binary, value binary")
+    rows.write.parquet(str(tmp_path / "old"))
+    assert G.import_table(spark, str(tmp_path / "old"), str(tmp_path / "new")) and (tmp_path / "old.migrated").exists()
+    assert [bytes(r.key) for r in spark.read.parquet(str(tmp_path / "new")).collect()] == [b"n" + bytes(8)]
+    assert not G.import_table(spark, str(tmp_path / "old"), str(tmp_path / "new"))
+    rows.write.parquet(str(tmp_path / "old"))
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        G.import_table(spark, str(tmp_path / "old"), str(tmp_path / "new"))
+    for bucket, key in (("nodes", bytearray(9)), ("dirents", bytearray(7)), ("stripes", bytearray(8))):
+        with pytest.raises(Exception, match=f"{bucket} key of length"):
+            G.legacy_keys(spark.createDataFrame([(bucket, key, bytearray())], rows.schema)).collect()
+
+
 def test_writes(spark):
     bulk = W.BulkSession(16)
     bulk.write(spark.createDataFrame([(1, 5, 10, 20, 0, 0), (2, 5, 0, 0, 0, 0)], "arrival long, inode long, logical_off long, length long, segment_id long, segment_offset long"))

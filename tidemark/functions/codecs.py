@@ -11,6 +11,8 @@ from tidemark.schemas import FRAGMENT_BYTES, NODE_FIXED_BYTES
 
 # The tag that starts each kind of key.
 NODE_TAG, DIRENT_TAG, STRIPE_TAG = b"n", b"d", b"s"
+#: The key of the next inode.
+NEXT_INODE_KEY = b"Mni"
 
 
 def big_endian(n: Column, width: int) -> Column:

@@ -329,7 +329,7 @@ SELECT n.inode, greatest(size, coalesce(s, size)) AS size, greatest(mtime_ns, co
 FROM nodes n LEFT JOIN live USING (inode)"""
 )
 def stat_overlay(spark, d):
-    pending = V.table(spark, d, "events").select((1000 + F.col("user_id")).alias("inode"), (F.col("event_id") * 7919 % 65536).alias("logical_off"), F.lit(1).alias("length"), (F.col("event_id") * 1_000_000_000).alias("mtime_ns"))
+    pending = V.table(spark, d, "events").select((1000 + F.col("user_id")).alias("inode"), (F.col("event_id") * 7919 % 65536).alias("logical_off"), F.lit(1).alias("length"), (F.col("event_id") * 1_000_000_000).alias("mtime_ns"), F.col("event_id").alias("seq"))
     return N.stat(V.nodes(spark, d), L.live_attributes(pending)).select("inode", "size", "mtime_ns", "ctime_ns")
 
 
@@ -703,6 +703,23 @@ def legacy_split(spark, d):
     return codecs.decode_fragments(lists.where(codecs.key_kind(F.col("key")) == "legacy"))
 
 
+@query(
+    """SELECT 'n' || lpad(to_hex(inode), 16, '0') AS k, size AS v FROM nodes UNION ALL SELECT 'd' || lpad(to_hex(parent), 16, '0') || hex(name), child FROM dirents
+UNION ALL SELECT DISTINCT 's' || lpad(to_hex(inode), 16, '0') || lpad(to_hex(stripe_id), 8, '0'), 0::BIGINT FROM fragments UNION ALL SELECT 'm', 7::BIGINT"""
+)
+def legacy_import(spark, d):
+    """Legacy buckets as one key space: keys of nodes, entries and stripes with their tags, and the next inode."""
+    as_rows = lambda rows, bucket, key, value: rows.select(F.lit(bucket).alias("bucket"), key.alias("key"), codecs.big_endian(value, 8).alias("value"))
+    stripes = V.fragments(spark, d).select("inode", "stripe_id").distinct()
+    rows = as_rows(V.nodes(spark, d), "nodes", codecs.big_endian(F.col("inode"), 8), F.col("size"))
+    rows = rows.union(as_rows(V.dirents(spark, d), "dirents", F.concat(codecs.big_endian(F.col("parent"), 8), F.col("name").cast("binary")), F.col("child")))
+    rows = rows.union(as_rows(stripes, "stripes", F.concat(codecs.big_endian(F.col("inode"), 8), codecs.big_endian(F.col("stripe_id"), 4)), F.lit(0)))
+    rows = rows.union(as_rows(spark.range(1), "_l4_meta", F.lit(bytearray(b"next_inode")), F.lit(7))).union(as_rows(spark.range(1), "_l4_meta", F.lit(bytearray(b"other")), F.lit(8)))
+    key = F.col("key")
+    shown = F.when(key == F.lit(bytearray(codecs.NEXT_INODE_KEY)), F.lit("m")).otherwise(F.concat(F.substring(key, 1, 1).cast("string"), F.hex(F.substring(key, F.lit(2), F.length(key)))))
+    return G.legacy_keys(rows).select(shown.alias("k"), codecs.from_big_endian(F.col("value"), 0, 8).alias("v"))
+
+
 @query("SELECT inode, mode, nlink, uid, gid, size, mtime_ns, ctime_ns, atime_ns FROM nodes")
 def node_codec(spark, d):
     return codecs.decode_nodes(V.nodes(spark, d).select(codecs.node_value().alias("value"))).drop("symlink_target")
@@ -791,7 +808,7 @@ def stream_windows(spark, d):
 def stream_live(spark, d):
     """Live attributes kept over a stream of writes, a row an inode."""
     store = scratch(spark, "live")
-    pending = _stream(spark, d).select((1000 + F.col("user_id")).alias("inode"), (F.col("event_id") * 7919 % 65536).alias("logical_off"), F.lit(1).alias("length"), (F.col("event_id") * 1_000_000_000).alias("mtime_ns"))
+    pending = _stream(spark, d).select((1000 + F.col("user_id")).alias("inode"), (F.col("event_id") * 7919 % 65536).alias("logical_off"), F.lit(1).alias("length"), (F.col("event_id") * 1_000_000_000).alias("mtime_ns"), F.col("event_id").alias("seq"))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{store}/data")

@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.functions.codecs import little_endian
+from tidemark.functions.codecs import DIRENT_TAG, NEXT_INODE_KEY, NODE_TAG, STRIPE_TAG, little_endian
 from tidemark.functions.scalars import framed_size, segment_file, segment_id_of
 from tidemark.plans.groups import by_batch
 from tidemark.plans.ordered import running_total
@@ -232,13 +232,32 @@ def get(keys: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
     return keys.join(table.withColumn("__found", F.lit(True)), on, "left").withColumn("found", F.coalesce("__found", F.lit(False))).drop("__found")
 
 
-def import_table(spark: SparkSession, source: str, target: str, columns: list[str]) -> bool:
-    """Copy a legacy table's columns to a new spot once: nothing to do without a source, an error if the target exists."""
+def legacy_keys(rows: DataFrame) -> DataFrame:
+    """Legacy rows (bucket, key, value) as key and value of one key space: each bucket's keys get its tag, and of the meta
+    bucket the next inode is taken over. A key of a wrong length is an error; other buckets don't matter."""
+    n, bucket = F.length("key"), F.col("bucket")
+    good = F.when(bucket == "nodes", n == 8).when(bucket == "dirents", n >= 8).when(bucket == "stripes", n == 12).otherwise(True)
+    checked = F.when(~good, F.raise_error(F.concat(bucket, F.lit(" key of length "), n.cast("string"))).cast("binary")).otherwise(F.col("key"))
+    tags = {"nodes": NODE_TAG, "dirents": DIRENT_TAG, "stripes": STRIPE_TAG}
+    key = F.when((bucket == "_l4_meta") & (F.col("key") == F.lit(bytearray(b"next_inode"))), F.lit(bytearray(NEXT_INODE_KEY)))
+    for name, tag in tags.items():
+        key = key.when(bucket == name, F.concat(F.lit(bytearray(tag)), checked))
+    return rows.select(key.alias("key"), "value").where("key IS NOT NULL")
+
+
+def import_table(spark: SparkSession, source: str, target: str, columns: list[str] | None = None) -> bool:
+    """Copy a legacy table to a new path once: its columns, or, without any, its buckets (bucket, key, value) by legacy_keys.
+
+    Nothing to do without a source, an error if the target exists. The source is renamed to `.migrated` when all is written.
+    """
     try:
         rows = spark.read.parquet(source)
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return False
         raise
-    rows.select(*columns).write.mode("errorifexists").parquet(target)
+    (rows.select(*columns) if columns else legacy_keys(rows)).write.mode("errorifexists").parquet(target)
+    at = spark._jvm.org.apache.hadoop.fs.Path(source)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(at, spark._jvm.org.apache.hadoop.fs.Path(source + ".migrated")):
+        raise RuntimeError(f"{source} was imported but can't be renamed")
     return True

@@ -33,8 +33,15 @@ def flush(writes: DataFrame, store: str, checkpoint: str, stripe: int = STRIPE_B
 
 
 def live_attributes(pending: DataFrame) -> DataFrame:
-    """inode, live_size, live_mtime_ns over pending extents; on a stream, state of one row an inode (update mode)."""
-    return pending.groupBy("inode").agg(F.max(F.col("logical_off") + F.col("length")).alias("live_size"), F.max("mtime_ns").alias("live_mtime_ns"))
+    """inode, live_size, live_mtime_ns (that of the last seq) over pending extents; on a stream, state of one row an inode."""
+    return pending.groupBy("inode").agg(F.max(F.col("logical_off") + F.col("length")).alias("live_size"), F.max_by("mtime_ns", "seq").alias("live_mtime_ns"))
+
+
+def barrier(query: StreamingQuery) -> None:
+    """Wait until everything that had been written when this was called is committed; a failed flush is raised here."""
+    query.processAllAvailable()
+    if query.exception():
+        raise query.exception()
 
 
 def windowed_counts(events: DataFrame, kind: str = "tumbling", length: str = "1 hour", slide: str = "15 minutes", late: str = "1 hour") -> DataFrame:
