@@ -49,7 +49,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
 
 
 def _at_width(docs: DataFrame, items: DataFrame, width: int, threshold: float, n_perms: int) -> DataFrame:
-    sets = items.select("item_id", _shingles("item_words", width).alias("item_set"))
+    sets = bounded(items.select("item_id", _shingles("item_words", width).alias("item_set")), "item-sets", "item_set")
     least = (F.expr(f"array_min(transform(item_set, s -> struct(xxhash64(s, {k}) AS h, s AS s))).s") for k in range(n_perms))
     signature = sets.select("item_id", F.size("item_set").alias("m"), F.array_distinct(F.array(*least)).alias("signature"))
     need = F.ceil(F.size("signature") / LEAST_OF).cast("int")
@@ -66,7 +66,7 @@ def _at_width(docs: DataFrame, items: DataFrame, width: int, threshold: float, n
     found = docs.alias("d").join(by_doc.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))).select("d.doc_id", "item_ids", word_array(F.col("text")).alias("words"))
     # A text is split and shingled once, below the rows of its items.
     pairs = found.select("doc_id", "item_ids", _shingles("words", width).alias("doc_set")).select("doc_id", "doc_set", F.explode("item_ids").alias("item_id"))
-    pairs = pairs.join(bounded(sets, "item-sets", "item_set"), "item_id")
+    pairs = pairs.join(sets, "item_id")
     shared = F.size(F.array_intersect("item_set", "doc_set")).cast("long")
     pairs = pairs.select("doc_id", "item_id", F.size("item_set").cast("long").alias("n_item_shingles"), shared.alias("n_shared"))
     return pairs.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles")).where(F.col("n_shared") >= threshold * F.col("n_item_shingles"))
