@@ -137,6 +137,25 @@ def test_evict_and_gc(spark):
     assert {(r.tier, r.seq) for r in after.collect()} == {(2, 100)} and {r.segment_id for r in garbage.collect()} == {1, 2}
 
 
+def test_compact_where_a_join_turns_into_a_broadcast(spark):
+    """The join's exchange by (inode, stripe) is not read by key then; the sweep still needs each key in one partition."""
+    row = F.col("id")
+    f = spark.range(0, 4000, 1, 4).select((row % 5).alias("inode"), (row % 2).alias("stripe_id"), (row + 1).alias("seq"), (row * 7919 % 900).alias("logical_off"), F.lit(100).cast("long").alias("length"), F.lit(1).cast("tinyint").alias("tier"), row.alias("segment_id"), F.lit(0).cast("long").alias("segment_offset"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        pieces = M.compact(f, f.where("inode < 3"), 2, 10_000).where("inode < 3").collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    newest = {}
+    for k in range(4000):
+        newest.update({(k % 5, k % 2, b): k for b in range(k * 7919 % 900, k * 7919 % 900 + 100)})
+    shown = [((r.inode, r.stripe_id, b), r.segment_id) for r in pieces for b in range(r.logical_off, r.logical_off + r.length)]
+    assert len(shown) == len(dict(shown)) and dict(shown) == {k: v for k, v in newest.items() if k[0] < 3}
+
+
 def test_ordered(spark):
     rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
     assert all(r.n == r.k + 5 for r in row_numbers(rows, ["k"], "n", 5).collect())

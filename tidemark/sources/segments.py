@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.codecs import DIRENT_TAG, NEXT_INODE_KEY, NODE_TAG, STRIPE_TAG, little_endian
 from tidemark.functions.scalars import framed_size, segment_file, segment_id_of
-from tidemark.plans.groups import by_batch
+from tidemark.plans.groups import by_batch, together
 from tidemark.plans.ordered import running_total
 from tidemark.schemas import HEADER_BYTES, RECORD_MAGIC, RECORD_VERSION, RECORDS, SEGMENT_BYTES, SLICE_BYTES, TRAILER_BYTES
 
@@ -100,7 +100,7 @@ def chunks(framed: DataFrame, size: int = SLICE_BYTES) -> DataFrame:
     start = (F.col("segment_offset") - HEADER_BYTES).cast("long")
     pieces = _cut(framed.select(F.col("tier").cast("tinyint").alias("tier"), F.col("segment_id").cast("long").alias("segment_id"), "segment_offset", "framed"), ["tier", "segment_id"], start, "framed", size)
     key = ["tier", "segment_id", "chunk"]
-    return by_batch(pieces.repartition(*key).sortWithinPartitions(*key, "at"), _filled, "tier tinyint, segment_id long, chunk long, data binary")
+    return by_batch(together(pieces, key, "at"), _filled, "tier tinyint, segment_id long, chunk long, data binary")
 
 
 def write_files(chunks: DataFrame, folder: str) -> None:
@@ -124,7 +124,7 @@ def write_files(chunks: DataFrame, folder: str) -> None:
         Path(out.name).rename(Path(folder, name))
 
     files = chunks.select(segment_file(F.col("segment_id")).alias("file"), "chunk", "data")
-    files.repartition("file").sortWithinPartitions("file", "chunk").foreachPartition(save)
+    together(files, ["file"], "chunk").foreachPartition(save)
 
 
 def remove_files(spark: SparkSession, folder: str, segments: DataFrame) -> int:
@@ -209,7 +209,7 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(chunks: DataFrame) -> DataFrame:
     """segment_id, chunk, data -> one row for each good record of the prefix of a file before the first bad one."""
     rows = chunks.select(F.col("segment_id").cast("long").alias("segment_id"), F.col("chunk").cast("long").alias("chunk"), "data")
-    return by_batch(rows.repartition("segment_id").sortWithinPartitions("segment_id", "chunk"), _scanned, RECORDS)
+    return by_batch(together(rows, ["segment_id"], "chunk"), _scanned, RECORDS)
 
 
 def good_sizes(chunks: DataFrame) -> DataFrame:
