@@ -225,6 +225,11 @@ def test_number(spark, value, text):
     assert spark.range(1).select(S.number(F.lit(value)).alias("t")).first().t == text
 
 
+@pytest.mark.parametrize("value,text", [(0.0, "0"), (1e6, "1000000"), (186153030.0, "186153030"), (1234567.5, "1234567.5"), (-2.5e7, "-25000000"), (12345678.25, "12345678.25"), (1e15, "1000000000000000"), (1e16, "1e+16"), (0.00035, "0.00035"), (0.000012, "1.2e-05")])
+def test_number_with_a_later_exponent(spark, value, text):
+    assert spark.range(1).select(S.number(F.lit(value), 16).alias("t")).first().t == text
+
+
 def test_prefix_bound():
     assert S.prefix_upper_bound(b"ab") == b"ac" and S.prefix_upper_bound(b"a\xff") == b"b" and S.prefix_upper_bound(b"\xff\xff") is None
 

@@ -117,9 +117,9 @@ def in_range(key: Column, low: bytes | None, high: bytes | None) -> Column:
     return above if high is None else above & (key < F.lit(bytearray(high)))
 
 
-def number(value: Column) -> Column:
+def number(value: Column, science: int = 6) -> Column:
     """A double as `%g` prints it without a precision: the fewest digits that tell it apart, with an exponent of at least
-    two digits below 1e-4 and from 1e6 (hence 1e+06)."""
+    two digits below 1e-4 and from 1e6 (hence 1e+06), or from another power of ten, `science`."""
     text = F.abs(value).cast("string")
     mantissa, power = F.substring_index(text, "E", 1), F.regexp_extract(text, r"E(-?[0-9]+)", 1).try_cast("int")
     whole, fraction = F.substring_index(mantissa, ".", 1), F.regexp_extract(mantissa, r"[.]([0-9]*)", 1)
@@ -127,10 +127,11 @@ def number(value: Column) -> Column:
     leading = F.length(fraction) - F.length(F.regexp_replace(fraction, "^0+", ""))
     exponent = F.when(power.isNotNull(), power).when(whole != "0", F.length(whole) - 1).otherwise(-leading - 1)
     tail = F.substring(digits, 2, 400)
-    science = F.concat(F.substring(digits, 1, 1), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    scientific = F.concat(F.substring(digits, 1, 1), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    plain = F.when(exponent < 0, small).otherwise(F.regexp_replace(mantissa, r"[.]0$", ""))
-    shown = F.when((exponent < -4) | (exponent >= 6), science).otherwise(plain)
+    split = F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, F.lit(400)))
+    plain = F.when(exponent < 0, small).when(F.length(digits) > exponent + 1, split).otherwise(F.rpad(digits, exponent + 1, "0"))
+    shown = F.when((exponent < -4) | (exponent >= science), scientific).otherwise(plain)
     special = F.when(F.isnan(value), "NaN").when(value == float("inf"), "+Inf").when(value == float("-inf"), "-Inf").when(value == 0, "0")
     return F.coalesce(special, F.concat(F.when(value < 0, "-").otherwise(""), shown))
 

@@ -25,12 +25,13 @@ def health(status: DataFrame) -> DataFrame:
     return status.withColumn("reason", reason).withColumn("code", F.when(F.col("reason") == "ok", 200).otherwise(503))
 
 
-def metrics_text(samples: DataFrame) -> DataFrame:
+def metrics_text(samples: DataFrame, science: int = 6) -> DataFrame:
     """name and text: one HELP and one TYPE line for each name, then its samples (kind, name, help, labels, value) in label order.
 
-    labels is text such as `tier="hot"`, empty for none.
+    labels is text such as `tier="hot"`, empty for none. Values have an exponent from 10 to the power of `science`; either form
+    is the same number to a reader of the text.
     """
-    line = F.concat("name", F.when(F.col("labels") != "", F.concat(F.lit("{"), "labels", F.lit("}"))).otherwise(""), F.lit(" "), number(F.col("value")))
+    line = F.concat("name", F.when(F.col("labels") != "", F.concat(F.lit("{"), "labels", F.lit("}"))).otherwise(""), F.lit(" "), number(F.col("value"), science))
     each = samples.select("kind", "name", "help", F.struct("labels", line.alias("line")).alias("s"))
     groups = each.groupBy("name", "kind", "help").agg(F.sort_array(F.collect_list("s")).alias("s"))
     lines = F.array_join(F.transform("s", lambda s: s["line"]), "\n")

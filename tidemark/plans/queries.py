@@ -568,6 +568,9 @@ def bulk_grow(spark, d):
 
 # --- telemetry -------------------------------------------------------------------------------------------------------
 
+#: SQL writes doubles without an exponent below 1e16.
+_PLAIN = 16
+
 
 @query("SELECT op, count(*) AS calls, count(*) FILTER (is_error) AS errors, sum(duration_nanos)::BIGINT AS duration_nanos, sum(duration_nanos)::DOUBLE / count(*) AS avg_nanos FROM op_log GROUP BY op")
 def op_stats(spark, d):
@@ -609,7 +612,7 @@ SELECT name, '# HELP ' || name || ' ' || any_value(help) || chr(10) || '# TYPE '
 FROM samples GROUP BY name"""
 )
 def metrics_segments(spark, d):
-    return T.metrics_text(T.segment_samples(M.segment_usage(V.segments(spark, d))))
+    return T.metrics_text(T.segment_samples(M.segment_usage(V.segments(spark, d))), _PLAIN)
 
 
 # --- scalars ---------------------------------------------------------------------------------------------------------
