@@ -602,7 +602,7 @@ SELECT name, '# HELP ' || name || ' ' || any_value(help) || chr(10) || '# TYPE '
 FROM samples GROUP BY name"""
 )
 def metrics_text(spark, d):
-    return T.metrics_text(T.op_samples(T.op_stats(V.op_log(spark, d))))
+    return T.metrics_text(T.op_samples(T.op_stats(V.op_log(spark, d))), _PLAIN)
 
 
 @query(
